@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_syntax", "p2_credentials", "p3_tokens")
+MODULES = ("p1_syntax", "p2_credentials", "p3_tokens", "p4_answers")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
