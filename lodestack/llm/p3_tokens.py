@@ -53,8 +53,7 @@ def token_counts(texts: DataFrame, merges: DataFrame) -> DataFrame:
     frequent = counts.where(F.length("word") <= FREQUENT_LENGTH).orderBy(F.desc("times"), "word").limit(FREQUENT).select("word", F.col("tokens").alias("known"))
     seen = words.join(F.broadcast(frequent), "word", "left")
     easy = seen.where("known is not null").groupBy("key").agg(F.sum("known").alias("tokens"))
-    rest = seen.where("known is null").groupBy("word", "key").agg(F.count("*").alias("n"))
-    hard = rest.join(counts.select("word", "tokens").hint("shuffle_hash"), "word").groupBy("key").agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
+    hard = seen.where("known is null").select("word", "key").join(counts.select("word", "tokens").hint("shuffle_hash"), "word").groupBy("key").agg(F.sum("tokens").alias("tokens"))
     rows = texts.groupBy("key").agg(F.count("*").alias("rows"))
     total = easy.unionByName(hard).groupBy("key").agg(F.sum("tokens").alias("tokens"))
     return rows.join(total, "key", "left").select("key", (F.coalesce("tokens", F.lit(0)) / F.col("rows")).cast("long").alias("tokens"))
@@ -69,7 +68,7 @@ def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "text", F.lit("documents").alias("table"), F.col("doc_id").cast("string").alias("id"), source_name(F.col("source")).alias("source"), spelling(F.col("lang"), HUMAN, "und").alias("language"), "repository",
     )
-    rows = hits.unionByName(docs).where("text is not null").withColumn("key", F.md5("text"))
+    rows = hits.unionByName(docs).where("text is not null").withColumn("key", F.unhex(F.md5("text")))
     return rows.join(F.broadcast(areas), "repository", "left").withColumn("area", F.coalesce("area", F.lit("unknown")))
 
 
