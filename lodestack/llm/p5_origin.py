@@ -37,6 +37,8 @@ PATH_WEIGHT = 0.5
 #: What generators and other projects write at the top of files, and where tools put files.
 GENERATED = re.compile(r"(?i)code generated by|@generated\b|auto-?generated\b|automatically generated|automatisch (?:erzeugt|generiert)|g[ée]n[ée]r[ée] automatiquement|generado automáticamente|自動生成|自动生成|generated (?:code|file)|generated (?:by|from) \S+.*\b(?:do not (?:edit|modify)|changes will be lost)|do not (?:edit|modify) (?:this file|by hand)")
 COPIED = re.compile(r"(?i)\bupstream: ?https?://|\b(?:imported|copied|vendored|taken) from \S+ v?[\d.]+\b.*(?:without|un|not)|\(c\) \d{4}(?:-\d{4})? the \S+ (?:contributors|authors)|copyright (?:\(c\) )?\d{4}(?:-\d{4})? \S+ (?:project|authors|contributors)\b")
+#: Where such a header names its project.
+PROJECT = re.compile(r"(?i)(?:imported|copied|vendored|taken) from (\S+)|\bthe (\S+) (?:contributors|authors)|copyright (?:\(c\) )?\d{4}(?:-\d{4})? (\S+) project\b|upstream: ?https?://\S+?/([\w.-]+)/")
 BUNDLED = re.compile(r"^/\*! ?[\w.-]+ v?\d|sourceMappingURL=")
 FOLDERS = {"vendor", "node_modules", "third_party", "third-party", "thirdparty", "pods", "godeps", "bower_components", "jspm_packages", "carthage", "site-packages"}
 TOOL_NAMES = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|_pb\.js|\.pb-c\.[ch]|\.pb\.(?:dart|cc|h)|\.g\.dart|\.freezed\.dart|\.gen\.\w+|outerclass\.java|\.designer\.cs|\.min\.js|[-.]bundle\.js|_generated\.\w+|\.generated\.\w+)$", re.I)
@@ -68,11 +70,29 @@ def dense(text: str) -> bool:
     return data > 0.6 * len(text)
 
 
+NUMBERED = re.compile(r"(?<![\d.])([A-Za-z_][A-Za-z_$]*?)_?(\d{1,4})\b")
+
+
+def enumerated(text: str) -> bool:
+    """A tool's members: one stem numbered from 0 or 1 upwards without gaps, on most lines of what is declared."""
+    lines = [x for x in text.split("\n") if len(x.strip()) > 3 and not COMMENT_LINE.match(x)]
+    if len(lines) < 6:
+        return False
+    seen: dict[str, set[int]] = {}
+    for stem, number in NUMBERED.findall(text):
+        seen.setdefault(stem, set()).add(int(number))
+    runs = {s for s, n in seen.items() if len(n) >= 6 and min(n) <= 1 and max(n) - min(n) + 1 == len(n)}
+    if not runs:
+        return False
+    numbered = sum(any(m[1] in runs for m in NUMBERED.finditer(x)) for x in lines)
+    return numbered >= 0.4 * len(lines)
+
+
 def giveaway(path: str, text: str) -> bool:
     """Whether a file says by itself that nobody on the team wrote it."""
     comments, rest = head(text)
     parts = path.lower().split("/")
-    return bool(GENERATED.search(comments) or COPIED.search(comments) or BUNDLED.search(text[:200]) or BUNDLED.search(text[-300:])) or bool(FOLDERS & set(parts[:-1])) or bool(TOOL_NAMES.search(path)) or dense(rest)
+    return bool(GENERATED.search(comments) or COPIED.search(comments) or BUNDLED.search(text[:200]) or BUNDLED.search(text[-300:])) or bool(FOLDERS & set(parts[:-1])) or bool(TOOL_NAMES.search(path)) or dense(rest) or enumerated(rest)
 
 
 def slots(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -118,32 +138,42 @@ def features(path: str, text: str) -> SparseVector:
     return SparseVector(SIZE, values)
 
 
-@F.udf(T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
-def example(path: str, chunks: list) -> tuple[float, SparseVector]:
+def project(text: str) -> str | None:
+    """The other project that a file's header names."""
+    comments = head(text)[0]
+    m = COPIED.search(comments) and PROJECT.search(comments)
+    return next(x for x in m.groups() if x).lower().replace("_", "-") if m else None
+
+
+@F.udf(T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT()), T.StructField("project", T.StringType())]))
+def example(path: str, chunks: list) -> tuple[float, SparseVector, str | None]:
     text, line = [], 1
     for c in chunks:
         lines = (c["content"] or "").replace("\r\n", "\n").split("\n")
         text.extend(lines[max(0, line - c["start_line"]) :])
         line = c["start_line"] + len(lines)
     whole = "\n".join(text)
-    return float(giveaway(path, whole)), features(path, whole)
+    return float(giveaway(path, whole)), features(path, whole), project(whole)
 
 
 def sampled(chunks: DataFrame, size: int) -> DataFrame:
-    """commit_sha, file, repository, label, features of about ``size`` file versions, taken by a hash of their key."""
+    """commit_sha, file, repository, label, features, project of about ``size`` file versions, taken by a hash of their key."""
     firsts = chunks.where("start_line = 1").count()
     part = min(1.0, size / max(1, firsts))
     own = chunks.where((F.pmod(F.xxhash64("commit_sha", "file"), F.lit(1_000_003)) < part * 1_000_003) & F.col("content").isNotNull())
     files = own.groupBy("commit_sha", "file", "start_line").agg(F.max_by("content", "ingested_at").alias("content"), F.max("repository").alias("repository")).groupBy("commit_sha", "file").agg(F.sort_array(F.collect_list(F.struct("start_line", "content"))).alias("chunks"), F.max("repository").alias("repository"))
-    return files.select("commit_sha", "file", "repository", example("file", "chunks").alias("e")).select("commit_sha", "file", "repository", "e.label", "e.features")
+    return files.select("commit_sha", "file", "repository", example("file", "chunks").alias("e")).select("commit_sha", "file", "repository", "e.label", "e.features", "e.project")
 
 
 def fitted(examples: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and intercept. Unlabelled files that the first fit takes for foreign are left out of the second."""
+    """Weights and intercept. Files under the name of a project that other files' headers name are labelled too; unlabelled files that the first fit takes for foreign are left out of the second."""
     if examples.select("label").distinct().count() < 2:
         return np.zeros(SIZE), -1.0
-    weighted = examples.withColumn("weight", F.when(F.col("label") == 1, 2.0).otherwise(1.0))
-    svm = LinearSVC(maxIter=15, regParam=0.01, weightCol="weight", aggregationDepth=2)
+    names = [r.project for r in examples.groupBy("project").count().where("project is not null and count > 1").select("project").collect()]  # at most one a sampled file
+    steps = F.transform(F.split(F.translate(F.lower("file"), "_", "-"), "/"), lambda x: F.regexp_replace(x, r"(?:-v?\d[\d.]*)?(?:\.[a-z]+)?$", ""))
+    examples = examples.withColumn("label", F.when(F.arrays_overlap(steps, F.array(*map(F.lit, names))), 1.0).otherwise(F.col("label"))) if names else examples
+    weighted = examples.withColumn("weight", F.when(F.col("label") == 1, 4.0).otherwise(1.0))
+    svm = LinearSVC(maxIter=15, regParam=0.005, weightCol="weight", aggregationDepth=2)
     first = svm.fit(weighted)
     clean = first.transform(weighted).where("label = 1 or prediction = 0").drop("rawPrediction", "prediction")
     second = svm.setMaxIter(25).fit(clean)
