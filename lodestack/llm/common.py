@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a compressed table; for wide or many rows. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    @atexit.register
+    def drop() -> None:
+        try:
+            files.delete(hadoop, True)
+        except Exception:  # the session has ended before; the folder's owner clears it
+            pass
+
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def latest(df: DataFrame, keys: list[str], value: str, order: str = "ingested_at") -> DataFrame:
     """One row a key: the newest delivery that still has its value. Other columns come from the same delivery; nothing is collected."""
     rest = [c for c in df.columns if c not in keys]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import HUMAN, code_language, cut, source_name, spelling
+from lodestack.llm.common import HUMAN, code_language, kept, source_name, spelling
 from lodestack.sources.tables import table
 
 #: Words whose counts are broadcast: at most 20,000, none longer than 64 characters.
@@ -49,7 +49,7 @@ def word_counts(words: DataFrame, merges: DataFrame) -> DataFrame:
 def token_counts(texts: DataFrame, merges: DataFrame) -> DataFrame:
     """key, tokens of each distinct key of ``texts`` (key, text); rows that share a key hold the same text."""
     words = words_of(texts)
-    counts = cut(word_counts(words, merges))
+    counts = kept(word_counts(words, merges))
     frequent = counts.where(F.length("word") <= FREQUENT_LENGTH).orderBy(F.desc("times"), "word").limit(FREQUENT).select("word", F.col("tokens").alias("known"))
     seen = words.join(F.broadcast(frequent), "word", "left")
     easy = seen.where("known is not null").groupBy("key").agg(F.sum("known").alias("tokens"))
