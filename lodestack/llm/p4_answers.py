@@ -24,7 +24,8 @@ from lodestack.sources.tables import table
 LEAST, SHARE = 6, 0.5
 STRINGS = T.ArrayType(T.StringType())
 JUDGED = T.StructType([T.StructField("defects", STRINGS), T.StructField("before", STRINGS)])
-PATTERNS = T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("ends", T.IntegerType())]))
+#: Patterns that a task gathers before it hands their counts on.
+GATHERED = 100_000
 
 
 @F.pandas_udf(JUDGED)
@@ -35,12 +36,27 @@ def judged(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
         yield pd.DataFrame([defects(t, p) for t, p in zip(texts, prompts)], columns=["defects", "before"])
 
 
-@F.pandas_udf(PATTERNS)
-def patterns_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def pattern_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """pattern, n, ends over the answers of a task, added up as far as memory allows."""
     from lodestack.llm.answers import body_of, end_grams
 
-    for s in texts:
-        yield pd.Series([[{"pattern": g, "ends": int(e)} for g, e in end_grams(t)] if t and body_of(t)[0] == "text" else [] for t in s], dtype=object)
+    counts: dict[str, list[int]] = {}
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame([(g, *c) for g, c in counts.items()], columns=["pattern", "n", "ends"])
+
+    for batch in batches:
+        for t in batch["raw_response"]:
+            if not t or body_of(t)[0] != "text":
+                continue
+            for g, e in end_grams(t):
+                c = counts.setdefault(g, [0, 0])
+                c[0] += 1
+                c[1] += e
+            if len(counts) > GATHERED:
+                yield frame()
+                counts.clear()
+    yield frame()
 
 
 def answer_defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -52,8 +68,8 @@ def answer_defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
 
     open_ends = rows.where("size(j.before) > 0").select("id", F.posexplode("j.before").alias("place", "pattern"))
     wanted = open_ends.select("pattern").distinct()
-    every = answers.where("raw_response is not null").select(F.explode(patterns_of("raw_response")).alias("p")).select("p.pattern", "p.ends")
-    seen = every.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("ends").alias("ends")).join(wanted, "pattern", "left_semi")
+    every = answers.where("raw_response is not null").select("raw_response").mapInPandas(pattern_counts, "pattern string, n long, ends long")
+    seen = every.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).join(wanted, "pattern", "left_semi")
     share = (F.col("ends") - 1) / (F.col("n") - 1)  # without the answer itself
     told = open_ends.join(seen, "pattern").where(F.col("n") > LEAST).withColumn("share", share)
     general = ~F.col("pattern").contains(" ")
