@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_syntax", "p2_credentials", "p3_tokens", "p4_answers", "p5_origin", "p6_leaks", "p7_mixture")
+MODULES = ("p1_syntax", "p2_credentials", "p3_tokens", "p4_answers", "p5_origin", "p6_leaks", "p7_mixture", "p8_sentences")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
