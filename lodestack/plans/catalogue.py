@@ -1,4 +1,8 @@
-"""The registered queries over the reference's operators."""
+"""The registered queries over the engine's operators, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from lodestack.plans import aggregates, filters, retrieval
+
+QUERIES: dict = filters.QUERIES | aggregates.QUERIES | retrieval.QUERIES
+SQL: dict[str, str] = filters.SQL | aggregates.SQL | retrieval.SQL
