@@ -1,15 +1,12 @@
-"""What several operators share: normal spellings, latest deliveries, and cutting lineage in the shared folder."""
+"""What several operators share: normal spellings, and latest deliveries."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.sources.shared import cut, kept  # noqa: F401  (used by the operators)
+
 #: Spellings of the code languages, by the extensions and aliases people write.
 LANGUAGES = {
     "typescript": "ts tsx typescript", "javascript": "js jsx mjs cjs javascript", "python": "py python python3", "go": "go golang", "dart": "dart", "java": "java", "rust": "rs rust",
@@ -42,39 +39,6 @@ def source_name(column: Column) -> Column:
     return F.coalesce(F.translate(F.lower(F.trim(column)), "-", "_"), F.lit("unknown"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lodestack-checkpoints"))
-    return folder or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, kept as files in the shared folder, so that a lost executor costs no recomputation of what came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as a compressed table; for wide or many rows. The table goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    @atexit.register
-    def drop() -> None:
-        try:
-            files.delete(hadoop, True)
-        except Exception:  # the session has ended before; the folder's owner clears it
-            pass
-
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def latest(df: DataFrame, keys: list[str], value: str, order: str = "ingested_at") -> DataFrame:
     """One row a key: the newest delivery that still has its value. Other columns come from the same delivery; nothing is collected."""
     rest = [c for c in df.columns if c not in keys]
