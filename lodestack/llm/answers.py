@@ -146,7 +146,7 @@ def language(text: str) -> str | None:
     if best and counts[best] * 2.5 >= n_latin:
         return best if counts[best] >= 4 else None
     top = latin.most_common(2)
-    if not top or top[0][1] < 0.9:
+    if not top or top[0][1] < 0.9 or len(words) < 3 and n_latin < 8:
         return None
     return top[0][0] if len(top) < 2 or top[0][1] > 1.2 * top[1][1] else None
 

@@ -14,7 +14,7 @@ from lodestack.llm.lexers import INDENT
 
 OPERAND = "[i0sPB]"
 #: Fixed for all brace languages: characters, strings and markers that are never tokens; operators without their right side.
-ALWAYS = [r"[MXU]", r"[o=.|A]n*[)\]}]", r"(?<!\.)[up]n*[)\]};]", r"[o=.|]n*[;,]", r"=n*[o.:?]", r"\.n*[.0s]", r",n*;", r"[(\[]n*[o=]", r"on*o", r"[0s]n?[.]?0", r"o$|=$|\.$"]
+ALWAYS = [r"[MXU]|@@", r"[o=.|A]n*[)\]}]", r"(?<!\.)[up]n*[)\]};]", r"[o=.|]n*[;,]", r"=n*[o.:?]", r"\.n*[.0s]", r",n*;", r"[(\[]n*[o=]", r"on*o", r"[0s]n?[.]?0", r"o$|=$|\.$"]
 #: Statements of languages whose line ends don't count.
 SEMICOLON = [r";[^{};]+(?<![C;])\}", r"r[^;{}C]*\}", r"(?:=|=k)i(?:\.i)*[PB]*i", r"r[i0s]i", r"0i|i0|0 0|si|0s", r"(?<![@.])iP[i0]", r"I[^(P]"]
 RULES = {
@@ -31,7 +31,7 @@ RULES = {k: re.compile("|".join(f"(?:{x})" for x in v)).search for k, v in RULES
 #: The outline of a file once every bracket has shrunk.
 TOPS = {
     "go": re.compile(r"[n;]*Gi(?:[n;]+(?:N(?:[i.]?s|P)|K[^n;]*(?:(?<=[o=,u.(|])n+[^n;]*)*|F[^n;]*C))*[n;]*"),
-    "java": re.compile(r"(?:(?:@[i.]+P?)*G[i.]+;)?(?:;|Nk?[i.uo*k]+;)*(?:;|(?:@?[i.]+P?|k)*@?c[^;C]*C|(?:@i(?:\.i)*P?|k)*(?:ii|i)P?[^;C]*C)*"),
+    "java": re.compile(r"(?:(?:@[i.]+P?)*G[i.]+;)?(?:;|Nk?[i.uo*k]+;)*(?:;|(?:[i.]+|kP?)*@?c[^;C]*C|(?:kP?)*(?:ii|i)P?[^;C]*C)*"),
     "dart": re.compile(r"(?:@[i.]+P?|[NckilgL@][^;C]*(?:C|;)|;)*"),
     "rs": re.compile(r"(?:#p?B)*(?:#B|;|K[^;C]*(?:C(?=[;#Kik]|$)|;|=[^;]*;)|kK[^;]*?(?:C|;)|k?i(?:Di)*pi?[PBC];?)*"),
     "c": re.compile(r"(?:[hGJ;]|[kil][^;C=.R0sou]*(?:[.R0sou](?![^;C]*C))?(?:=[^;]*|[^;C]*)(?:;|C;?))*"),
@@ -67,7 +67,7 @@ def braces(lang: str, s: str) -> bool:
 
 
 #: Neighbours that no line of Python holds.
-PY_LINE = re.compile(r"[MXU]|[i0PBC][i0s]|s[i0]|[o=.]$|[o=.][)\]}:]|[up][)\]}]|[u]$|=[o=.]{1}(?<!==)|\.[^i]|oo|p[)=]|[?;]{2}|[?|]\?|A|^[o=.,:)]|,,|k?\[,|^[hmd][0s]|[{(],|r[:)]|[byx]$").search
+PY_LINE = re.compile(r"[MXU]|@@|[i0PBC][i0s]|s[i0]|[o=.]$|[o=.][)\]}:]|[up][)\]}]|[u]$|=[o=.]{1}(?<!==)|\.[^i]|oo|p[)=]|[?;]{2}|[?|]\?|A|^[o=.,:)]|,,|k?\[,|^[hmd][0s]|[{(],|r[:)]|[byx]$").search
 PY_SPLIT = re.compile(rf"n([{chr(INDENT)}-{chr(INDENT + 2000)}])").split
 
 

@@ -35,11 +35,11 @@ SIZE = 2 * GRAMS + PATHS
 PATH_WEIGHT = 0.5
 
 #: What generators and other projects write at the top of files, and where tools put files.
-GENERATED = re.compile(r"(?i)code generated by|@generated\b|auto-?generated\b|automatically generated|automatisch (?:erzeugt|generiert)|g[ée]n[ée]r[ée] automatiquement|generado automáticamente|自動生成|自动生成|generated (?:code|file)|generated (?:by|from) \S+.*\b(?:do not (?:edit|modify)|changes will be lost)|do not (?:edit|modify) (?:this file|by hand)")
+GENERATED = re.compile(r"(?im)code generated by|@generated\b|auto-?generated\b|automatically generated|automatisch (?:erzeugt|generiert)|g[ée]n[ée]r[ée] automatiquement|generado automáticamente|自動生成|自动生成|generated (?:code|file)\b|^[\W_]*(?:this (?:file|code) (?:is|was|has been) )?generated (?:by|from) \S+|do not (?:edit|modify) (?:this file|by hand)")
 COPIED = re.compile(r"(?i)\bupstream: ?https?://|\b(?:imported|copied|vendored|taken) from \S+ v?[\d.]+\b.*(?:without|un|not)|\(c\) \d{4}(?:-\d{4})? the \S+ (?:contributors|authors)|copyright (?:\(c\) )?\d{4}(?:-\d{4})? \S+ (?:project|authors|contributors)\b")
 #: Where such a header names its project.
 PROJECT = re.compile(r"(?i)(?:imported|copied|vendored|taken) from (\S+)|\bthe (\S+) (?:contributors|authors)|copyright (?:\(c\) )?\d{4}(?:-\d{4})? (\S+) project\b|upstream: ?https?://\S+?/([\w.-]+)/")
-BUNDLED = re.compile(r"^/\*! ?[\w.-]+ v?\d|sourceMappingURL=")
+BUNDLED = re.compile(r"(?m)\A/\*! ?[\w.-]+ v?\d|^//[#@] ?sourceMappingURL=")
 FOLDERS = {"vendor", "node_modules", "third_party", "third-party", "thirdparty", "pods", "godeps", "bower_components", "jspm_packages", "carthage", "site-packages"}
 TOOL_NAMES = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|_pb\.js|\.pb-c\.[ch]|\.pb\.(?:dart|cc|h)|\.g\.dart|\.freezed\.dart|\.gen\.\w+|outerclass\.java|\.designer\.cs|\.min\.js|[-.]bundle\.js|_generated\.\w+|\.generated\.\w+)$", re.I)
 COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include|if|define|pragma|\[|!\[)|/\*|\*|\"\"\"|--|<!--)")
