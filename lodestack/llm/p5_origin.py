@@ -120,9 +120,9 @@ def path_slots(path: str) -> list[int]:
 
 
 def masked(text: str, first: bool) -> str:
-    """Without leading comments and lines that give the file away."""
+    """Without leading comments, lines that give the file away, and keys, whose characters look like data."""
     body = head(text)[1] if first else text
-    return re.sub(r"(?m)^.*(?:sourceMappingURL|@generated|DO NOT EDIT).*$", "", body)
+    return re.sub(r"(?m)^.*(?:sourceMappingURL|@generated|DO NOT EDIT).*$|-----BEGIN [^-]*-----[\s\S]*?(?:-----END [^-]*-----|\Z)", "", body)
 
 
 def features(path: str, text: str) -> SparseVector:
