@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.plans import aggregates, filters, retrieval
+from lodestack.plans import aggregates, filters, more, retrieval
 
-QUERIES: dict = filters.QUERIES | aggregates.QUERIES | retrieval.QUERIES
-SQL: dict[str, str] = filters.SQL | aggregates.SQL | retrieval.SQL
+QUERIES: dict = filters.QUERIES | aggregates.QUERIES | retrieval.QUERIES | more.QUERIES
+SQL: dict[str, str] = filters.SQL | aggregates.SQL | retrieval.SQL | more.SQL
