@@ -65,8 +65,8 @@ def repo_stats_topn(spark, d):
 @query("""SELECT coalesce(lower(trim(language)), 'unknown') AS language, count(*) AS chunks, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS percent FROM code_chunks GROUP BY 1""")
 def language_breakdown(spark, d):
     n = table(spark, d, "code_chunks").groupBy(F.coalesce(F.lower(F.trim("language")), F.lit("unknown")).alias("language")).agg(F.count("*").alias("chunks"))
-    total = n.agg(F.sum("chunks").alias("total"))  # one row
-    return n.crossJoin(F.broadcast(total)).select("language", "chunks", F.round(F.col("chunks") * 100.0 / F.col("total"), 4).alias("percent"))
+    total = F.sum("chunks").over(Window.partitionBy())  # over one row a language
+    return n.select("language", "chunks", F.round(F.col("chunks") * 100.0 / total, 4).alias("percent"))
 
 
 @query("""WITH c AS (SELECT DISTINCT commit_sha, repository, files, lines_added, lines_deleted, is_merge FROM commits), e AS (SELECT repository, count(DISTINCT f) AS files FROM (SELECT repository, unnest(files) AS f FROM c) GROUP BY 1) SELECT c.repository, count(*) AS commits, count(*) FILTER (WHERE is_merge) AS merges, CAST(sum(lines_added) AS BIGINT) AS added, CAST(sum(lines_deleted) AS BIGINT) AS deleted, coalesce(max(e.files), 0) AS files FROM c LEFT JOIN e ON c.repository = e.repository GROUP BY c.repository""")
