@@ -137,9 +137,9 @@ def mixture(documents: DataFrame, weights: DataFrame, tokenizer: str = TOKENIZER
     sizes = rows.select("doc_id", "source", "tokens")
     uses = documents.select("doc_id", source_name(F.col("source")).alias("source")).join(sizes.drop("source"), "doc_id", "left").join(used, "doc_id", "left").select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"))
     reached = uses.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"))
-    total = reached.agg(F.sum("used_tokens").alias("all_tokens"))
+    reached = reached.withColumn("all_tokens", F.sum("used_tokens").over(Window.partitionBy()))  # over one row a source
     goal = weights.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
-    shares = goal.join(reached, "source", "left").crossJoin(F.broadcast(total)).select(
+    shares = goal.join(reached, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         F.coalesce(F.col("used_tokens") / F.nullif("all_tokens", F.lit(0)), F.lit(0.0)).alias("share_reached"), F.lit(exponent).alias("exponent"),
     )
