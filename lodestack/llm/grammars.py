@@ -103,7 +103,7 @@ def python(s: str) -> bool:
                     return False
             if w != stack[-1]:
                 return False
-        if w in tried and line[0] != "x" or kinds[-1] == "m" and line[0] != "d":
+        if w in tried and line[0] != "x" or kinds[-1] == "m" and (line[0] != "d" or ":" not in line) or line[0] in "md" and line[1:2] == "i" and ":" not in line:
             return False
         tried.discard(w)
         if PY_LINE(line):
