@@ -50,13 +50,17 @@ NUMBERS = re.compile(rb"[0a-f]*0[0a-fx.]*")
 
 def head(text: str) -> tuple[str, str]:
     """The leading comments of a file and the rest."""
-    lines = text.split("\n")
+    lines = text.split("\n", 41)
     n = 0
-    while n < len(lines) and n < 40 and (not lines[n].strip() or COMMENT_LINE.match(lines[n])):
+    while n < min(len(lines), 40) and (not lines[n].strip() or COMMENT_LINE.match(lines[n])):
         n += 1
     return "\n".join(lines[:n]), "\n".join(lines[n:])
 
 
+LONG = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{40,}+")
+DATA = re.compile(rf"(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?|\"[\w +/=-]*\"|'[\w +/=-]*')\s*[,\])}}]|{LONG.pattern}")
+
+
 def dense(text: str) -> bool:
     """Minified lines, or a table of data: hardly any blanks or words for the characters there are."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -66,11 +70,12 @@ def dense(text: str) -> bool:
     blanks = text.count(" ") / len(text)
     if sum(longest) / len(longest) > 300 and blanks < 0.08:
         return True
-    data = sum(len(m) for m in re.findall(r"(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?|\"[\w +/=-]*\"|'[\w +/=-]*')\s*[,\])}]|[A-Za-z0-9+/=]{40,}", text))
-    return data > 0.6 * len(text)
+    if text.count(",") < len(text) / 30 and not LONG.search(text):
+        return False
+    return sum(map(len, DATA.findall(text))) > 0.6 * len(text)
 
 
-NUMBERED = re.compile(r"(?<![\d.])([A-Za-z_][A-Za-z_$]*?)_?(\d{1,4})\b")
+NUMBERED = re.compile(r"(?<![\w$.])([A-Za-z_$]++)(\d{1,4})\b")
 
 
 def enumerated(text: str) -> bool:
@@ -79,7 +84,10 @@ def enumerated(text: str) -> bool:
     if len(lines) < 6:
         return False
     seen: dict[str, set[int]] = {}
-    for stem, number in NUMBERED.findall(text):
+    found = NUMBERED.findall(text)
+    if len(found) < 6:
+        return False
+    for stem, number in found:
         seen.setdefault(stem, set()).add(int(number))
     runs = {s for s, n in seen.items() if len(n) >= 6 and min(n) <= 1 and max(n) - min(n) + 1 == len(n)}
     if not runs:
@@ -122,6 +130,8 @@ def path_slots(path: str) -> list[int]:
 def masked(text: str, first: bool) -> str:
     """Without leading comments, lines that give the file away, and keys, whose characters look like data."""
     body = head(text)[1] if first else text
+    if not any(x in body for x in ("sourceMappingURL", "@generated", "DO NOT EDIT", "-----BEGIN ")):
+        return body
     return re.sub(r"(?m)^.*(?:sourceMappingURL|@generated|DO NOT EDIT).*$|-----BEGIN [^-]*-----[\s\S]*?(?:-----END [^-]*-----|\Z)", "", body)
 
 
