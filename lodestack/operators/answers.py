@@ -28,3 +28,8 @@ def findings(reviews: DataFrame, key: str) -> DataFrame:
     x = reviews.where("review is not null").select(key, F.posexplode("review.issues").alias("ordinal", "i"))
     severity = F.lower(F.col("i.severity"))
     return x.select(key, "ordinal", "i.file", F.greatest(F.coalesce("i.line", F.lit(1)), F.lit(1)).alias("line"), F.coalesce(F.nullif(F.lower("i.category"), F.lit("")), F.lit("style")).alias("category"), F.when(severity.isin(*SEVERITIES), severity).otherwise("medium").alias("severity"), F.coalesce("i.comment", F.lit("")).alias("comment"))
+
+
+def flat_objects(answer: Column) -> Column:
+    """All objects of an answer that hold no others, in order."""
+    return F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"(\{[^{}]*\})"), F.lit(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestack.operators import answers as A
 from lodestack.operators import validate as V
 from lodestack.sources.files import recent
 from lodestack.sources.tables import table
@@ -141,3 +142,32 @@ def human_sizes(spark, d):
 def rollup_advice(spark, d):
     bad = F.count_if(F.col("status") != "success")
     return table(spark, d, "cloud_responses").groupBy("model").agg(F.count("*").alias("answers"), F.count_if(F.col("status") == "success").alias("ok"), F.when(bad * 10 > F.count("*"), "check errors").otherwise("fine").alias("advice"))
+
+
+@query("""SELECT id, CAST(len(o) AS INTEGER) AS objects, md5(coalesce(o[1], '')) AS first_digest FROM (SELECT id, regexp_extract_all(coalesce(raw_response, ''), '(\\{[^{}]*\\})', 1) AS o FROM cloud_responses)""")
+def json_objects(spark, d):
+    o = A.flat_objects(F.col("raw_response"))
+    return table(spark, d, "cloud_responses").select("id", F.size(o).alias("objects"), F.md5(F.coalesce(F.get(o, 0), F.lit(""))).alias("first_digest"))
+
+
+#: Words of messages that tell a kind of change, the first that fits counts.
+CHANGE_KINDS = {"fix": "fix|bug", "feature": "feat|add", "refactor": "refactor|rename|clean", "performance": "perf|speed", "test": "test", "chore": "chore|bump"}
+
+
+@query("SELECT kind, count(*) AS commits, CAST(sum(lines_added + lines_deleted) AS BIGINT) AS lines FROM (SELECT DISTINCT commit_sha, lines_added, lines_deleted, CASE " + " ".join(f"WHEN regexp_matches(lower(message), '^(?:{p})') THEN '{k}'" for k, p in CHANGE_KINDS.items()) + " ELSE 'other' END AS kind FROM commits) GROUP BY kind")
+def commit_kinds(spark, d):
+    message, kind = F.lower("message"), F.lit("other")
+    for k, p in reversed(CHANGE_KINDS.items()):
+        kind = F.when(message.rlike(f"^(?:{p})"), k).otherwise(kind)
+    x = table(spark, d, "commits").select("commit_sha", "lines_added", "lines_deleted", kind.alias("kind")).distinct()
+    return x.groupBy("kind").agg(F.count("*").alias("commits"), F.sum(F.col("lines_added") + F.col("lines_deleted")).alias("lines"))
+
+
+@query("""WITH p AS (SELECT DISTINCT commit_sha, unnest(parent_hashes) AS parent FROM commits), r AS (SELECT DISTINCT commit_sha, repository FROM commits) SELECT r.repository, count(*) AS edges, count(k.commit_sha) AS known, count(*) FILTER (WHERE k.repository = r.repository) AS same FROM p JOIN r ON p.commit_sha = r.commit_sha LEFT JOIN r k ON p.parent = k.commit_sha GROUP BY r.repository""")
+def commit_parents(spark, d):
+    c = table(spark, d, "commits")
+    edges = c.select("commit_sha", F.explode("parent_hashes").alias("parent")).distinct()
+    owner = c.select("commit_sha", "repository").distinct()
+    known = owner.select(F.col("commit_sha").alias("parent"), F.col("repository").alias("of_parent"), F.lit(1).alias("there"))
+    x = edges.join(owner, "commit_sha").join(known, "parent", "left")
+    return x.groupBy("repository").agg(F.count("*").alias("edges"), F.count("there").alias("known"), F.count_if(F.col("of_parent") == F.col("repository")).alias("same"))

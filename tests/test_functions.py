@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import globs, text
 from lodestack.functions.vectors import cosine, euclidean, nearest
-from lodestack.operators.filters import compiled, lint
+from lodestack.operators.filters import compiled, lint, selectivity
 
 
 @pytest.mark.parametrize(
@@ -83,3 +83,7 @@ def test_globs_compile(pattern):
 def test_core_without_llm():
     code = "import sys; sys.modules['lodestack.llm'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q[:2] in ('p1', 'p2')] and 'batch_knn_top5' in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_selectivity():
+    assert selectivity({}) == (0, "few") and selectivity({"files": ["a", "b"], "commit": "x"}) == (35, "moderate") and selectivity({"files": ["a"] * 6}) == (60, "many")
