@@ -22,6 +22,17 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), extension(path)), F.lit("unknown"))
 
 
+#: Spellings of languages besides their names and extensions.
+LANGUAGE_ALIASES = {"golang": "go", "python3": "python", "ansi-c": "c"}
+
+
+def code_language(language: Column, path: Column) -> Column:
+    """By extension, which all chunks of a file share; where that is unknown, by the normal name of the language given."""
+    names = EXTENSION_LANGUAGE | LANGUAGE_ALIASES | {x: x for x in EXTENSION_LANGUAGE.values()}
+    pairs = [F.lit(x) for kv in names.items() for x in kv]
+    return F.coalesce(F.nullif(language_of(path), F.lit("unknown")), F.element_at(F.create_map(*pairs), F.lower(F.trim(language))), F.lit("unknown"))
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

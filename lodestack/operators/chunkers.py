@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,23 +40,34 @@ HEADS = {
 }
 
 
-def declarations(files: DataFrame, keys: list[str], text: str, language: str) -> DataFrame:
-    """keys, name, start_line, end_line: top-level declarations of brace languages.
+def declarations(chunks: DataFrame, keys: list[str], text: str, language: str, start: str | None = None, owner: str | None = None) -> DataFrame:
+    """keys, owner, name, start_line, end_line: top-level declarations of brace languages.
 
     A declaration begins at a line of column 0 that its language's pattern takes and ends at the next line that is a lone
-    closing brace in column 0, or on its own line. Lines are rows of arrays; nothing leaves the row of its file.
+    closing brace in column 0, or on its own line. ``keys`` name a file; its rows may be chunks that share lines, with the number
+    of their first line in ``start``. Only heads and closing lines leave a chunk; a line that several chunks hold counts once and
+    goes to the first of them (``owner``). Where lines are missing before the next closing line, the end is unknown and null.
     """
-    lines = F.split(F.col(text), "\n")
-    pattern = F.lit(None).cast("string")
-    for name, head in HEADS.items():
-        pattern = F.when(F.col(language) == name, F.lit(head)).otherwise(pattern)
-    rows = files.where(F.col(text).isNotNull()).select(*keys, lines.alias("_lines"), pattern.alias("_head")).where("_head is not null")
-    closing = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(r"^[})]+[;,]?\s*$"), i + 1)), lambda x: x.isNotNull())
-    heads = rows.select(*keys, closing.alias("_ends"), F.posexplode("_lines").alias("_i", "_line"), "_head").where(F.expr("_line rlike _head"))
-    line = F.col("_i") + 1
-    later = F.filter("_ends", lambda e: e >= line)
-    alone = F.col("_line").rlike(r"\}\s*$|;\s*$")
-    return heads.select(*keys, F.expr("regexp_extract(_line, _head, 1)").alias("name"), line.alias("start_line"), F.when(alone, line).otherwise(F.coalesce(F.element_at(F.when(F.size(later) > 0, later), 1), line)).alias("end_line"))
+    opens = lambda x: F.coalesce(*[F.when(F.col(language) == n, x.rlike(head)) for n, head in HEADS.items()])
+    named = lambda x: F.coalesce(*[F.when(F.col(language) == n, F.regexp_extract(x, head, 1)) for n, head in HEADS.items()])
+    closes = lambda x: x.rlike(r"^[})]+[;,]?\s*$")
+    first = F.coalesce(F.col(start), F.lit(1)) if start else F.lit(1)
+    rows = chunks.where(F.col(text).isNotNull() & F.col(language).isin(*HEADS)).select(
+        *keys, (F.col(owner) if owner else F.lit("")).alias("_owner"), F.col(language), first.cast("int").alias("_start"), F.split(F.col(text), "\n").alias("_lines"),
+    )
+    numbered = F.filter(F.transform("_lines", lambda x, i: F.struct((F.col("_start") + i).alias("line"), x.alias("text"))), lambda m: opens(m["text"]) | closes(m["text"]))
+    marks = F.transform(numbered, lambda m: F.struct(m["line"].alias("line"), F.when(opens(m["text"]), named(m["text"])).alias("name"), closes(m["text"]).alias("closes"), m["text"].rlike(r"\}\s*$|;\s*$").alias("alone")))
+    pieces = rows.select(*keys, "_owner", "_start", (F.col("_start") + F.size("_lines")).alias("_stop"), marks.alias("_marks"))
+    w = Window.partitionBy(*keys).orderBy("_start", "_stop")
+    pieces = pieces.withColumn("_before", F.max("_stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    pieces = pieces.withColumn("_part", F.sum(F.coalesce((F.col("_start") > F.col("_before")).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = pieces.withColumn("_parts", F.max("_part").over(Window.partitionBy(*keys)))
+    found = pieces.select(*keys, "_owner", "_start", "_part", "_parts", F.explode("_marks").alias("_m"))
+    once = found.groupBy(*keys, F.col("_m.line").alias("_line")).agg(F.min(F.struct("_start", "_owner", "_part", "_parts", "_m")).alias("_f"))
+    later = Window.partitionBy(*keys).orderBy("_line").rowsBetween(0, Window.unboundedFollowing)
+    heads = once.withColumn("_end", F.min(F.when(F.col("_f._m.closes"), F.struct("_line", "_f._part"))).over(later)).where("_f._m.name is not null")
+    end = F.when(F.col("_f._m.alone"), F.col("_line")).when(F.col("_end._part") == F.col("_f._part"), F.col("_end._line")).when(F.col("_end").isNull() & (F.col("_f._part") == F.col("_f._parts")), F.col("_line"))
+    return heads.select(*keys, *([F.col("_f._owner").alias(owner)] if owner else []), F.col("_f._m.name").alias("name"), F.col("_line").alias("start_line"), end.alias("end_line"))
 
 
 def flags(text: Column) -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.scoring import file_importance, hybrid, recency
+from lodestack.functions.text import code_language
 from lodestack.functions.vectors import nearest
 from lodestack.operators import answers as A
 from lodestack.operators import chunkers as C
@@ -143,16 +144,25 @@ def fixed_blocks_20(spark, d):
     return C.fixed_blocks(table(spark, d, "code_chunks").select("id", "content"), "id", "content", 20).select("id", *[F.col(c).cast("int").alias(c) for c in ("block", "start_line", "end_line", "lines")])
 
 
+def file_chunks(spark, d):
+    """Chunks with the key of their file version; one without a commit or file stands for itself."""
+    lone = F.col("commit_sha").isNull() | F.col("file").isNull()
+    return table(spark, d, "code_chunks").where("content is not null").select("id", "content", "start_line", code_language(F.col("language"), F.col("file")).alias("language"), F.when(lone, F.col("id")).otherwise(F.col("commit_sha")).alias("version"), F.when(~lone, F.col("file")).otherwise("").alias("path"))
+
+
 @query()
 def declaration_chunks(spark, d):
-    chunks = table(spark, d, "code_chunks").where("start_line = 1").select("id", "content", F.lower(F.trim("language")).alias("language"))
-    return C.declarations(chunks, ["id"], "content", "language")
+    """Declarations of whole file versions, by lines of the file; id is the first chunk that holds the declaration's first line."""
+    return C.declarations(file_chunks(spark, d), ["version", "path"], "content", "language", "start_line", "id").select("id", "name", "start_line", "end_line")
 
 
 @query()
 def unified_diff_lines(spark, d):
-    diffs = table(spark, d, "code_chunks").where("start_line = 1 and content like '%@@ -%'").select("id", "content").dropDuplicates(["id"])
-    return D.change_status(D.diff_lines(diffs, "id", "content"), "id")
+    """Status of every file version with hunks in any of its chunks; id is that of its first chunk."""
+    chunks, key = file_chunks(spark, d), ["version", "path"]
+    chunks = chunks.join(chunks.where("content like '%@@ -%'").select(*key).distinct(), key, "left_semi")
+    status = D.change_status(D.hunk_lines(D.chunk_lines(chunks, key, "content", "start_line"), key), *key)
+    return status.join(chunks.groupBy(*key).agg(F.min(F.struct(F.coalesce("start_line", F.lit(1)), "id"))["id"].alias("id")), key).select("id", "added", "deleted", "status")
 
 
 @query()

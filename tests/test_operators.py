@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import answers, chunkers, diffs, joins, prompts, store
+from lodestack.plans import retrieval
 from lodestack.streaming import windows
 
 
@@ -35,6 +36,28 @@ def test_declarations(spark):
     assert sorted((r.name, r.start_line, r.end_line) for r in rows) == [("One", 3, 5), ("Two", 7, 10), ("three", 12, 12)]
 
 
+def chunked(text, size=50, overlap=5):
+    lines = text.split("\n")
+    return [(at + 1, "\n".join(lines[at : at + size])) for at in range(0, max(1, len(lines) - overlap), size - overlap)]
+
+
+def test_declarations_of_later_chunks(spark, tmp_path):
+    go = "package a\n" + "\n" * 46 + "func One() {\n" + "\tx()\n" * 9 + "}\n" + "\n" * 60 + "func Two() {\n\ty()\n}\nfunc three() {}\n"
+    rows = [(f"{v}{s}", v, "a.go", label, s, c) for v, label in (("c", "golang"), ("n", None)) for s, c in chunked(go)]
+    rows += [(f"g{s}", "g", "a.go", "go", s, c if s != 46 else None) for s, c in chunked(go)] + [rows[0], ("z", None, None, "go", 1, "func z() {\n}"), ("o", "o", "a.txt", "other", 1, "func o() {}")]
+    spark.createDataFrame(rows, "id string, commit_sha string, file string, language string, start_line int, content string").write.parquet(str(tmp_path / "code_chunks.parquet"))
+    got = sorted((r.id, r.name, r.start_line, r.end_line) for r in retrieval.declaration_chunks(spark, str(tmp_path)).collect())
+    whole = [("1", "One", 48, 58), ("91", "Two", 119, 121), ("91", "three", 122, 122)]
+    assert got == sorted([(v + i, *x) for v in "cn" for i, *x in whole] + [("g1", "One", 48, None), ("g91", "Two", 119, 121), ("g91", "three", 122, 122), ("z", "z", 1, 2)])
+
+
+def test_diffs_of_later_chunks(spark, tmp_path):
+    diff = "diff --git a/x b/x\n@@ -1,60 +1,61 @@\n" + " same\n" * 45 + "+new\n" * 2 + " same\n" * 14 + "diff --git a/y b/y\n@@ -1 +0,0 @@\n-old\n"
+    rows = [(f"d{s}", "d", "x.diff", None, s, c) for s, c in chunked(diff)]
+    spark.createDataFrame([*rows, rows[1]], "id string, commit_sha string, file string, language string, start_line int, content string").write.parquet(str(tmp_path / "code_chunks.parquet"))
+    assert [(r.id, r.added, r.deleted, r.status) for r in retrieval.unified_diff_lines(spark, str(tmp_path)).collect()] == [("d1", 2, 1, "modified")]
+
+
 def test_interval_join(spark):
     random.seed(1)
     chunks = [(i, random.choice("ab"), s, s + random.randint(-1, 200)) for i in range(40) for s in [random.randint(1, 400)]] + [(90, "a", None, 5)]
