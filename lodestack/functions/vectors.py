@@ -26,6 +26,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 #: Queries that one product takes, and vectors in a block.
 QUERY_BLOCK, ROW_BLOCK = 2_000, 4_000
+#: More than a product of blocks can differ from a score that is summed alone.
+ROUNDING = 1e-9
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None) -> DataFrame:
@@ -55,15 +57,25 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float | None = N
                 batch = batch[batch["vector"].notna()]
                 if batch.empty:
                     continue
+                batch = batch.sort_values("id", kind="stable")
                 v = np.array(batch["vector"].tolist(), dtype=np.float64)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                s = q @ (v / np.where(n == 0, 1, n)).T
+                # of equal vectors the k smallest ids besides the query's own can be among the k best
                 keys = batch["id"].to_numpy()
+                own = pd.DataFrame({"v": [x.tobytes() for x in v], "id": keys})
+                place = (~own.duplicated()).astype(int).groupby(own["v"]).cumsum().to_numpy()
+                v, keys = v[place <= k + 1], keys[place <= k + 1]
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                v = v / np.where(n == 0, 1, n)
+                s = q @ v.T
                 s[ids[:, None] == keys[None, :]] = -np.inf
-                take = min(k + 8, s.shape[1])
-                cols = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                picked = pd.DataFrame({"query_id": np.repeat(ids, take), "id": keys[cols].ravel(), "score": np.take_along_axis(s, cols, axis=1).ravel()})
-                picked = picked[np.isfinite(picked["score"])]
+                edge = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(ids), -np.inf)
+                found = []
+                for i in range(len(ids)):
+                    cols = np.flatnonzero((s[i] >= edge[i] - ROUNDING) & (s[i] > -np.inf))
+                    exact = (v[cols] * q[i]).sum(axis=1)  # equal vectors score the same wherever they stand, unlike in a product of blocks
+                    best_first = np.lexsort((keys[cols], -exact))[:k]
+                    found.append((np.full(len(best_first), ids[i]), keys[cols][best_first], exact[best_first]))
+                picked = pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "id", "score"), zip(*found))})
                 top = picked if top is None else pd.concat([top, picked])
                 top = top.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
             if top is not None:

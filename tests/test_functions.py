@@ -64,6 +64,19 @@ def test_vectors_and_neighbours(spark):
     assert (round(r.one, 9), r.zero, r.none, r.five) == (1.0, 0.0, None, 5.0)
 
 
+def test_neighbours_with_equal_vectors(spark):
+    rng = np.random.default_rng(7)
+    copy, ids = [float(x) for x in rng.normal(size=67)], rng.permutation(400)
+    rows = [(int(i), copy if i % 4 else [float(x) for x in rng.normal(size=67)]) for i in ids]
+    df = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3)
+    queries = [1, 3, 399, 398]
+    got = nearest(df.where(F.col("id").isin(queries)), df, 5).orderBy("query_id", "rank").collect()
+    want = [i for i in range(1, 400) if i % 4]
+    for q in queries:
+        assert [r.id for r in got if r.query_id == q] == [i for i in want if i != q][:5]
+    assert len({r.score for r in got}) == 1
+
+
 def test_exclusions_keep_nulls(spark):
     df = spark.createDataFrame([(1, "go", None, 4), (2, None, ["x"], None), (3, "c", [], 9)], "id int, language string, imports array<string>, complexity int")
     ids = lambda spec: sorted(r.id for r in df.where(compiled(spec)[0]).collect())
