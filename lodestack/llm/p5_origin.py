@@ -5,14 +5,17 @@ label themselves where they carry a giveaway: a generator's or another project's
 folder, minified lines, tables of data. Headers are masked before features are taken, so that the classifier also knows such
 files without them; files that the first fit takes for foreign are no negatives in the second. Fitting uses a bounded sample of
 file versions; every chunk is then scored, and as the score is a mean over n-grams, chunks add up to files without shuffling text.
+Giveaways are those of the whole file, from traits of its chunks.
 
 Cases: null contents count for nothing; empty files are hand-written; repeated deliveries count once; long files are scored whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,46 +64,69 @@ LONG = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{40,}+")
 DATA = re.compile(rf"(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?|\"[\w +/=-]*\"|'[\w +/=-]*')\s*[,\])}}]|{LONG.pattern}")
 
 
-def dense(text: str) -> bool:
+NUMBERED = re.compile(r"(?<![\w$.])([A-Za-z_$]++)(\d{1,4})\b")
+
+
+def traits(text: str, first: bool, shared: int = 0) -> dict:
+    """What a chunk adds to its file's giveaways, without its first ``shared`` lines, which only give context.
+
+    sure: what its header or first characters say; end: what its last ones say; lengths, chars, blanks, commas, data, long: of its
+    lines, for tables and minified lines; stems, rows: numbered names, and how often lines have which of them; lines: declared ones.
+    """
+    comments, rest = head(text) if first else ("", text)
+    lines = rest.split("\n")[shared:]
+    own = "\n".join(lines)
+    since = len(rest) - len(own)
+    stems: dict[str, set[int]] = {}
+    rows: Counter = Counter()
+    declared = 0
+    for x in lines:
+        found = NUMBERED.findall(x)
+        for stem, number in found:
+            stems.setdefault(stem, set()).add(int(number))
+        if len(x.strip()) > 3 and not COMMENT_LINE.match(x):
+            declared += 1
+            if found:
+                rows[tuple(sorted({stem for stem, _ in found}))] += 1
+    commas, long = own.count(","), bool(LONG.search(own))
+    return {
+        "sure": first and bool(GENERATED.search(comments) or COPIED.search(comments) or BUNDLED.search(text[:200])), "end": bool(BUNDLED.search(text[-300:])), "lengths": [len(x) for x in lines if x.strip()], "chars": len(own), "blanks": own.count(" "),
+        "commas": commas, "long": long, "data": sum(len(m[0]) for m in DATA.finditer(rest) if m.end() > since), "stems": {k: sorted(v) for k, v in stems.items()}, "rows": list(rows.items()), "lines": declared,
+    }
+
+
+def dense(own: list[dict]) -> bool:
     """Minified lines, or a table of data: hardly any blanks or words for the characters there are."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    if len(text) < 200 or not lines:
+    total = lambda k: sum(t[k] for t in own)
+    size, lengths = total("chars") + len(own) - 1, sorted(n for t in own for n in t["lengths"])
+    if size < 200 or not lengths:
         return False
-    longest = sorted(map(len, lines))[-max(1, len(lines) // 2) :]
-    blanks = text.count(" ") / len(text)
-    if sum(longest) / len(longest) > 300 and blanks < 0.08:
+    longest = lengths[-max(1, len(lengths) // 2) :]
+    if sum(longest) / len(longest) > 300 and total("blanks") / size < 0.08:
         return True
-    if text.count(",") < len(text) / 30 and not LONG.search(text):
+    if total("commas") < size / 30 and not any(t["long"] for t in own):
         return False
-    return sum(map(len, DATA.findall(text))) > 0.6 * len(text)
-
-
-NUMBERED = re.compile(r"(?<![\w$.])([A-Za-z_$]++)(\d{1,4})\b")
+    return total("data") > 0.6 * size
 
 
-def enumerated(text: str) -> bool:
+def enumerated(own: list[dict]) -> bool:
     """A tool's members: one stem numbered from 0 or 1 upwards without gaps, on most lines of what is declared."""
-    lines = [x for x in text.split("\n") if len(x.strip()) > 3 and not COMMENT_LINE.match(x)]
-    if len(lines) < 6:
-        return False
     seen: dict[str, set[int]] = {}
-    found = NUMBERED.findall(text)
-    if len(found) < 6:
-        return False
-    for stem, number in found:
-        seen.setdefault(stem, set()).add(int(number))
+    for t in own:
+        for stem, numbers in t["stems"].items():
+            seen.setdefault(stem, set()).update(numbers)
     runs = {s for s, n in seen.items() if len(n) >= 6 and min(n) <= 1 and max(n) - min(n) + 1 == len(n)}
-    if not runs:
-        return False
-    numbered = sum(any(m[1] in runs for m in NUMBERED.finditer(x)) for x in lines)
-    return numbered >= 0.4 * len(lines)
+    lines = sum(t["lines"] for t in own)
+    return bool(runs) and lines >= 6 and sum(n for t in own for stems, n in t["rows"] if not runs.isdisjoint(stems)) >= 0.4 * lines
+
+
+def given_away(path: str, own: list[dict]) -> bool:
+    """Whether a file says by itself that nobody on the team wrote it, by the traits of its chunks in order."""
+    return bool(FOLDERS & set(path.lower().split("/")[:-1])) or bool(TOOL_NAMES.search(path)) or bool(own) and (any(t["sure"] for t in own) or own[-1]["end"] or dense(own) or enumerated(own))
 
 
 def giveaway(path: str, text: str) -> bool:
-    """Whether a file says by itself that nobody on the team wrote it."""
-    comments, rest = head(text)
-    parts = path.lower().split("/")
-    return bool(GENERATED.search(comments) or COPIED.search(comments) or BUNDLED.search(text[:200]) or BUNDLED.search(text[-300:])) or bool(FOLDERS & set(parts[:-1])) or bool(TOOL_NAMES.search(path)) or dense(rest) or enumerated(rest)
+    return given_away(path, [traits(text, True)])
 
 
 def slots(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -190,29 +216,40 @@ def fitted(examples: DataFrame) -> tuple[np.ndarray, float]:
     return second.coefficients.toArray(), second.intercept
 
 
+@F.pandas_udf(T.BooleanType())
+def certain(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Giveaways of whole files, from the traits of their chunks in order."""
+    for paths, own in parts:
+        yield pd.Series([given_away(p, [json.loads(t["traits"]) for t in ts]) for p, ts in zip(paths, own)], dtype=bool)
+
+
 def scored(chunks: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
-    """commit_sha, file, score of every file version; positive means that nobody on the team wrote it."""
+    """commit_sha, file, score, given_away of every file version; a positive score means that nobody on the team wrote it.
+
+    Text stays where it is: chunks give sums of weights and traits, and these make up the score and giveaways of the whole file.
+    """
     held = chunks.sparkSession.sparkContext.broadcast(weights)
-    schema = T.StructType([T.StructField(x, T.DoubleType()) for x in ("raw", "raw_n", "form", "form_n", "path")])
+    schema = T.StructType([*(T.StructField(x, T.DoubleType()) for x in ("raw", "raw_n", "form", "form_n", "path")), T.StructField("traits", T.StringType())])
 
     @F.pandas_udf(schema)
     def parts_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         w = held.value
 
         def one(text: str, path: str, start: int) -> tuple:
-            first = start == 1
+            first, text = start == 1, text.replace("\r\n", "\n")
+            own = json.dumps(traits(text, first, 0 if first else OVERLAP))
             if not first:
                 text = "\n".join(text.split("\n")[OVERLAP:])
-            raw, form = slots(masked(text.replace("\r\n", "\n"), first))
-            known = (1e6 if giveaway(path, text) else 0.0) if first else 0.0
-            return w[raw].sum(), float(len(raw)), w[form].sum(), float(len(form)), w[path_slots(path)].sum() * PATH_WEIGHT + known if first else 0.0
+            raw, form = slots(masked(text, first))
+            return w[raw].sum(), float(len(raw)), w[form].sum(), float(len(form)), w[path_slots(path)].sum() * PATH_WEIGHT, own
 
         for contents, paths, starts in batches:
-            yield pd.DataFrame([one(*x) for x in zip(contents, paths, starts)], columns=["raw", "raw_n", "form", "form_n", "path"])
+            yield pd.DataFrame([one(*x) for x in zip(contents, paths, starts)], columns=schema.names)
 
     pieces = chunks.where("content is not null").select("commit_sha", "file", "start_line", parts_of("content", "file", "start_line").alias("s")).groupBy("commit_sha", "file", "start_line").agg(F.first("s").alias("s"))
     share = lambda a, n: F.coalesce(F.sum(f"s.{a}") / F.nullif(F.sum(f"s.{n}"), F.lit(0.0)), F.lit(0.0)) * 100
-    return pieces.groupBy("commit_sha", "file").agg((share("raw", "raw_n") + share("form", "form_n") + F.sum("s.path") + intercept).alias("score"), (F.sum("s.raw_n") + F.sum("s.form_n")).alias("grams")).withColumn("score", F.when(F.col("grams") == 0, -1.0).otherwise(F.col("score"))).drop("grams")
+    files = pieces.groupBy("commit_sha", "file").agg((share("raw", "raw_n") + share("form", "form_n") + F.max("s.path") + intercept).alias("score"), (F.sum("s.raw_n") + F.sum("s.form_n")).alias("grams"), F.sort_array(F.collect_list(F.struct("start_line", "s.traits"))).alias("own"))
+    return files.select("commit_sha", "file", F.when(F.col("grams") == 0, -1.0).otherwise(F.col("score")).alias("score"), certain("file", "own").alias("given_away"))
 
 
 def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,17 +260,17 @@ def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = source_chunks(spark, sf_dir)
     weights, intercept = fitted(cut(sampled(chunks, SAMPLE)))
-    return scored(chunks, weights, intercept).where("score > 0").select("commit_sha", "file")
+    return scored(chunks, weights, intercept).where("score > 0 or given_away").select("commit_sha", "file")
 
 
 def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """label, predicted, files over repositories that the fit never saw; labels are the files' own giveaways."""
-    examples = cut(sampled(source_chunks(spark, sf_dir), SAMPLE))
+    """label, predicted, files over all files of repositories that the fit never saw; labels are the files' own giveaways."""
+    chunks = source_chunks(spark, sf_dir)
     held_out = F.pmod(F.crc32(F.coalesce("repository", F.lit(""))), F.lit(4)) == 0
-    weights, intercept = fitted(examples.where(~held_out))
-    held = spark.sparkContext.broadcast(weights)
-    predict = F.udf(lambda v: float(v.dot(held.value) + intercept > 0), T.DoubleType())
-    return examples.where(held_out).select("label", predict("features").alias("predicted")).groupBy("label", "predicted").agg(F.count("*").alias("files"))
+    weights, intercept = fitted(cut(sampled(chunks, SAMPLE)).where(~held_out))
+    files = chunks.where("content is not null").groupBy("commit_sha", "file").agg(F.max("repository").alias("repository")).where(held_out).select("commit_sha", "file")
+    found = scored(chunks, weights, intercept).join(files, ["commit_sha", "file"], "left_semi")
+    return found.groupBy(F.col("given_away").cast("double").alias("label"), (F.col("score") > 0).cast("double").alias("predicted")).agg(F.count("*").alias("files"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_validation": p5_validation}

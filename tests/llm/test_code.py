@@ -3,6 +3,7 @@
 import ast
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,21 @@ def test_origin_held_out(spark, data):
     rows = {(r.label, r.predicted): r.files for r in p5_origin.p5_validation(spark, data.replace("sf0.001", "sf0.01")).collect()}
     right = rows.get((1.0, 1.0), 0) + rows.get((0.0, 0.0), 0)
     assert right >= 0.9 * sum(rows.values())
+
+
+def test_origin_validates_all_held_out_files(spark, data, monkeypatch):
+    folder = data.replace("sf0.001", "sf0.01")
+    versions = p5_origin.source_chunks(spark, folder).where("content is not null").groupBy("commit_sha", "file").agg(F.max("repository").alias("r"))
+    want = versions.where("pmod(crc32(coalesce(r, '')), 4) = 0").count()
+    monkeypatch.setattr(p5_origin, "SAMPLE", 400)
+    assert sum(r.files for r in p5_origin.p5_validation(spark, folder).collect()) == want
+
+
+def test_origin_giveaways_of_later_chunks(spark):
+    code = [f"let {a} = {b}();" for a in "abcdefgh" for b in ("go", "run", "put", "get", "add", "cut", "mix")]
+    texts = {
+        "map.js": [*code, "//# sourceMappingURL=map.js.map"], "table.js": ["// sizes", "", *code[:40], *["0x1f, 0x2e, 0x3d, 0x4c, 0x5b, 0x6a," * 3] * 60], "numbers.js": ["/* a", " * b", " */", *code[:44], *[f"  field{n}: string;" for n in range(60)]], "plain.js": code,
+    }
+    rows = [("c", f, at + 1, "\n".join(x[at : at + 50])) for f, x in texts.items() for at in range(0, len(x) - 5, 45)]
+    found = p5_origin.scored(spark.createDataFrame([*rows, rows[1]], "commit_sha string, file string, start_line int, content string"), np.zeros(p5_origin.SIZE), -1.0).collect()
+    assert {r.file: r.given_away for r in found} == {f: p5_origin.giveaway(f, "\n".join(x)) for f, x in texts.items()} == {"map.js": True, "table.js": True, "numbers.js": True, "plain.js": False}
