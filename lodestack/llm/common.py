@@ -44,3 +44,10 @@ def latest(df: DataFrame, keys: list[str], value: str, order: str = "ingested_at
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(F.col(value).isNotNull(), F.col(order), F.col(value)))
     return df.groupBy(*keys).agg(newest.alias("_")).select(*keys, *[F.col("_")[c].alias(c) for c in rest])
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """An equi-join whose left side may have hot keys: it is spread over ``salts`` parts a key, and the right side, of few rows a key, is repeated for them."""
+    spread = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
+
+import numpy as np
 
 #: Names of credentials in several languages, as the words a name may end with; "+" joins neighbouring words.
 NAMES = set(
@@ -39,7 +42,9 @@ def hinted(text: str) -> bool:
 
 
 QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\\n]|\\.)*)`')
-ASSIGNED = re.compile(r"([\w.\-$]+)[\"'`]?\]?\s*(?:\[\]\s*)?(?:\?|!)?(?::\s*[&*?\w<>\[\]'| ]{1,40}?\s*)?(?:=>|:=|\?=|=|:)\s*")
+ASSIGNED = re.compile(r"(?<![\w.\-$])([\w.\-$]++)[\"'`]?\]?\s*(?:\[\]\s*)?(?:\?|!)?(?::\s*[&*?\w<>\[\]'| ]{1,40}?\s*)?(?:=>|:=|\?=|=|:)\s*")
+#: A value that begins on the next line.
+BROKEN = re.compile(r"\s*[(\[{]?\s*\\?\s*")
 #: name = value without quotes, to the end of the line, in formats that allow it.
 BARE = re.compile(r"(?:^|(?<=\s)|(?<=[/:;]))(?:export\s+|set\s+|ENV\s+|ARG\s+)?([\w.\-]+)\s*(?:=|:\s)\s*(?![\"'`|>&])(\S+)\s*(?:#.*)?$")
 BARE_FORMATS = {"env", "ini", "properties", "yaml", "yml", "npmrc", "sh", "bash", "zsh", "cfg", "conf", "toml", "staging", "production", "local", "dev", "pypirc", "netrc", "pgpass", "service", "tfvars", "dockerfile", "prod", "test", "development"}
@@ -58,7 +63,7 @@ def credential_name(name: str) -> bool:
 
 def working(value: str) -> bool:
     """Whether a value could be a password or key in use, by its characters."""
-    if len(value) < 6 or len(value) > 4000 or PLACEHOLDER.match(value) or NOT_VALUE.match(value):
+    if len(value) < 6 or PLACEHOLDER.match(value) or NOT_VALUE.match(value):
         return False
     lower, upper, digit = any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value)
     return digit or any(c in "!%#~?^$@&*+=" for c in value) or lower and upper and any(c in "._-" for c in value)
@@ -93,14 +98,13 @@ def candidates(text: str, ext: str) -> list[tuple[int, int, int, str, str]]:
         a = text.rfind("\n", 0, hit.start()) + 1
         b = text.find("\n", hit.start())
         seen = b = len(text) if b < 0 else b
-        if b - a > 3000:
-            continue
-        line = text[a:b].rstrip("\r")
+        line, after = text[a:b].rstrip("\r"), None
         for m in ASSIGNED.finditer(line):
             if not credential_name(m[1]):
                 continue
-            end = b - a
-            literals = list(QUOTED.finditer(line, m.end()))
+            if not after or after[0].start() < m.end():
+                after = list(islice(QUOTED.finditer(line, m.end()), 2)) if after is None or after else []
+            literals = [] if after and ";" in line[m.end() : after[0].start()] else after
             if literals and (literals[0].start() == m.end() or ext in CODE_FORMATS):
                 lookup = re.search(r"(?i)env|vault|secret|config|getProperty|option", line[m.end() : literals[0].start()])
                 if lookup and len(literals) > 1:
@@ -123,7 +127,7 @@ def candidates(text: str, ext: str) -> list[tuple[int, int, int, str, str]]:
                         value, e = value + j[2], j.end(2)
                     if working(value):
                         add(s, e, "name", value, first)
-            elif not literals and re.fullmatch(r"\s*[(\[{]?\s*\\?\s*", line[m.end() : end]) and ext in CODE_FORMATS:
+            elif not literals and ext in CODE_FORMATS and BROKEN.fullmatch(line, m.end()):
                 j = re.compile(r"[\s(\\]*[-+]?\s*([\"'`])((?:(?!\1)[^\\\n]|\\.)+)\1(?!\s*:)").match(text, b)
                 if j:
                     value, e = j[2], j.end(2)
@@ -148,10 +152,45 @@ def candidates(text: str, ext: str) -> list[tuple[int, int, int, str, str]]:
     return out
 
 
-#: Runs of characters that credentials are made of; the longest of a value is its anchor.
-RUN = re.compile(r"[\w.\-+~!#%^*$]{8,}")
+#: Characters of the gram by which texts are searched for a value, and of that for values shorter than it.
+GRAM, SHORT = 8, 6
+MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 | 1) for k in range(6)]
+
+
+def gram_hashes(text: str, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``size`` characters, one an offset."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    if len(a) < size:
+        return np.empty(0, dtype=np.uint64)
+    h = np.full(len(a) - size + 1, size, dtype=np.uint64)
+    for i in range(size):
+        h = h * np.uint64(0x100000001B3) + a[i : len(a) - size + 1 + i]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
 
+def anchor(value: str) -> int:
+    """The hash of the gram of a value with the most different characters, digits before letters, and without blanks if there is one. Every working value has ``SHORT`` characters."""
+    size = GRAM if len(value) >= GRAM else SHORT
+    best = max(range(len(value) - size + 1), key=lambda i: (not any(c.isspace() for c in value[i : i + size]), len(set(value[i : i + size])), sum(c.isdigit() for c in value[i : i + size]), -i))
+    return int(gram_hashes(value[best : best + size], size)[0])
 
-def anchor(value: str) -> str | None:
-    """The part of a value by which other files are searched for it."""
-    return max(RUN.findall(value), key=len, default=None)
+
+def probes(h: int) -> list[int]:
+    """Where a filter of 2 ** 64 bits has those of a hash; smaller ones take the leading bits."""
+    return [int(x) for x in (np.full(1, h, dtype=np.uint64) * np.array(MIX, dtype=np.uint64))]
+
+
+def probable(text: str, table: np.ndarray, bits: int) -> list[int]:
+    """The hashes of grams of a text that the filter knows, as signed numbers."""
+    out: list[int] = []
+    for size in (GRAM, SHORT):
+        h = gram_hashes(text, size)
+        for mix in MIX:
+            at = (h * mix) >> np.uint64(64 - bits)
+            h = h[(table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            if not len(h):
+                break
+        out.extend(np.unique(h).astype(np.int64).tolist())
+    return out

@@ -3,30 +3,38 @@
 1. Each chunk gives the literals that may be credentials, by their name, their shape or a comment's cue.
 2. The literals are indexed over the whole corpus; values that many owners share are placeholders and drop out, rare ones are
    confirmed. Counting is two-step (value and owner, then value), so that one placeholder in a third of all files is no hot task.
-3. Every text is scanned again for the confirmed values under any name: a Bloom filter of fixed size picks the lines that may
-   hold one, an equi-join on the value's anchor brings the candidates, and an automaton built from them confirms the place.
+3. Every text is scanned again for the confirmed values under any name. One gram of each value (eight characters, or six of a
+   shorter one) goes into a Bloom filter, sized by their number; all grams of all texts are tested against it, at every offset.
+   Texts with a hit, an equi-join on the grams brings their values, and an automaton built from these reads the texts again and
+   tells the places. More values than one filter of ``BLOOM_MOST`` bits holds take several passes.
 
 Cases: null contents give nothing; a line in two chunks is reported for both; repeated deliveries count once; empty tables give
-empty results; in texts of any length a value of up to 4,000 characters (keys of any length) is found.
+empty results; values, lines and texts may be of any length; a value is found again inside longer runs, but not inside a word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import cut, extension, latest
+from lodestack.llm.common import cut, extension, kept, latest, salted_join
 from lodestack.sources.tables import table
 
 #: More owners than this share a placeholder, not a credential.
 MAX_OWNERS = 3
-#: Bits of the Bloom filter, as a power of two: its 512 KiB are the bound on what is broadcast.
-BLOOM_BITS = 22
+#: Bits of the Bloom filter for each value, and its bits at least and at most, as powers of two: no more than 64 MiB are broadcast.
+BLOOM_EACH, BLOOM_LEAST, BLOOM_MOST = 32, 20, 29
+#: Bits of the filter that one row brings to the driver, as a power of two.
+BLOCK_BITS = 16
+#: Rows up to which the table of grams is broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 200_000
 
 SPAN = T.ArrayType(T.StructType([*(T.StructField(x, T.IntegerType()) for x in ("line", "start", "stop")), *(T.StructField(x, T.StringType()) for x in ("kind", "value"))]))
 
@@ -40,11 +48,13 @@ def literals(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series([[dict(zip(names, x)) for x in candidates(t, e)] if t else [] for t, e in zip(contents, exts)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def anchor_of(values: pd.Series) -> pd.Series:
-    from lodestack.llm.credentials import anchor
+@F.pandas_udf(T.StructType([T.StructField("gram", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType()))]))
+def anchor_of(values: pd.Series) -> pd.DataFrame:
+    """The gram by which texts are searched for a value, and its bits in the filter, as fractions of 2 ** 64."""
+    from lodestack.llm.credentials import anchor, probes
 
-    return pd.Series([anchor(v) for v in values], dtype=object)
+    grams = [anchor(v) for v in values]
+    return pd.DataFrame({"gram": [g - (1 << 64) * (g >> 63) for g in grams], "bits": [[x >> (64 - BLOOM_MOST) for x in probes(g)] for g in grams]})
 
 
 def candidate_literals(chunks: DataFrame) -> DataFrame:
@@ -59,70 +69,84 @@ def candidate_literals(chunks: DataFrame) -> DataFrame:
 def confirmed(candidates: DataFrame, commits: DataFrame) -> DataFrame:
     """The candidates whose value no more than ``MAX_OWNERS`` owners share; repositories lost in chunks come from the commits."""
     known = commits.groupBy("commit_sha").agg(F.max("repository").alias("of_commit"))
-    owned = candidates.join(known, "commit_sha", "left").select("value", F.coalesce(F.substring_index(F.coalesce("repository", "of_commit"), "/", 1), F.lit("")).alias("owner"))
-    rare = owned.distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") <= MAX_OWNERS)
-    return candidates.join(rare.select("value"), "value", "left_semi")
-
-
-def bloom(anchors: DataFrame) -> np.ndarray:
-    """A bit for each anchor; at most 2 ** BLOOM_BITS / 32 words of it come to the driver, however many anchors there are."""
-    bit = anchors.where("anchor is not null").select((F.crc32("anchor") % (1 << BLOOM_BITS)).cast("int").alias("bit"))
-    words = bit.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits"))
-    bits = np.zeros(1 << (BLOOM_BITS - 5), dtype=np.uint32)
-    for r in words.toLocalIterator():
-        bits[r.word] = r.bits
-    return bits
-
+    lost = candidates.where("repository is null").join(known, "commit_sha", "left").select("value", F.col("of_commit").alias("repository"))
+    owned = candidates.where("repository is not null").select("value", "repository").unionByName(lost)
+    owners = owned.select("value", F.coalesce(F.substring_index("repository", "/", 1), F.lit("")).alias("owner")).distinct()
+    rare = owners.groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") <= MAX_OWNERS)
+    return salted_join(candidates, rare.select("value"), "value", "left_semi")
 
-def rescan(chunks: DataFrame, secrets: DataFrame) -> DataFrame:
-    """chunk_id, line, start, stop, value of every place that holds one of ``secrets`` (value), under any name."""
-    spark = chunks.sparkSession
-    anchors = secrets.select("value", anchor_of("value").alias("anchor")).where("anchor is not null")
-    bits = spark.sparkContext.broadcast(bloom(anchors))
-
-    @F.pandas_udf("array<struct<anchor:string,line:int,start:int,text:string>>")
-    def maybe(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from zlib import crc32
 
-        from lodestack.llm.credentials import RUN
+def bloom(anchors: DataFrame, bits: int) -> np.ndarray:
+    """The filter, of 2 ** bits bits. Blocks of it are put together by the executors; the driver gets no more than its bytes, however many anchors there are."""
+    block = min(BLOCK_BITS, bits)
+    place = anchors.select(F.explode("bits").alias("bit")).select(F.shiftright("bit", BLOOM_MOST - bits).alias("bit"))
+    places = place.select(F.shiftright("bit", block).alias("block"), F.col("bit").bitwiseAND((1 << block) - 1).cast("int").alias("place")).distinct()
 
-        table, mask = bits.value, (1 << BLOOM_BITS) - 1
+    def filled(own: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << block, dtype=np.uint8)
+        on[own["place"].to_numpy()] = 1
+        return pd.DataFrame({"block": own["block"].iloc[:1], "data": [np.packbits(on, bitorder="little").tobytes()]})
 
-        def one(text: str) -> list[dict]:
-            hits, out = set(), []
-            for run in set(RUN.findall(text)):
-                h = crc32(run.encode("utf-8", "replace")) & mask
-                if int(table[h >> 5]) >> (h & 31) & 1:
-                    hits.add(run)
-            for run in hits:
-                at = text.find(run)
-                while at >= 0:
-                    a, b = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-                    out.append({"anchor": run, "line": text.count("\n", 0, at), "start": a, "text": text[a : b if b >= 0 else None]})
-                    at = text.find(run, max(at + len(run), b))
-            return out
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    size = 1 << (block - 3)
+    for r in places.groupBy("block").applyInPandas(filled, "block long, data binary").toLocalIterator():
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, dtype=np.uint8)
+    return out
 
-        for s in parts:
-            yield pd.Series([one(t) for t in s], dtype=object)
 
-    places = chunks.where("content <> ''").select("id", "start_line", F.explode(maybe("content")).alias("p")).select(F.col("id").alias("chunk_id"), (F.coalesce("start_line", F.lit(1)) + F.col("p.line")).cast("int").alias("line"), "p.anchor", "p.start", "p.text")
-    return places.join(anchors, "anchor").select("chunk_id", "line", "start", "text", "value").mapInPandas(located, "chunk_id string, line int, start int, stop int, value string")
+def rescan(chunks: DataFrame, secrets: DataFrame) -> DataFrame:
+    """chunk_id, line, start, stop, value of every place that holds one of ``secrets`` (value), under any name."""
+    anchors = kept(secrets.select("value", anchor_of("value").alias("a")).select("value", "a.gram", "a.bits"))
+    n = anchors.count()
+    passes = max(1, math.ceil(n * BLOOM_EACH / (1 << BLOOM_MOST)))
+    parts = [anchors.where(F.pmod("gram", F.lit(passes)) == k) if passes > 1 else anchors for k in range(passes)]
+    found = [_pass(chunks, part, math.ceil(n / passes), n <= BROADCAST_ROWS) for part in parts]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _pass(chunks: DataFrame, anchors: DataFrame, n: int, small: bool) -> DataFrame:
+    bits = min(BLOOM_MOST, max(BLOOM_LEAST, math.ceil(math.log2(max(1, n * BLOOM_EACH)))))
+    held = chunks.sparkSession.sparkContext.broadcast(bloom(anchors, bits))
+
+    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Texts that may hold a value, with the grams that tell so."""
+        from lodestack.llm.credentials import probable
+
+        table = held.value
+        for b in batches:
+            grams = [probable(t, table, bits) for t in b["content"]]
+            if any(grams):
+                yield b[np.array([len(g) > 0 for g in grams])].assign(grams=[g for g in grams if g])
+
+    texts = chunks.where("content <> ''").select(F.xxhash64("id", "start_line", "content").alias("key"), F.col("id").alias("chunk_id"), F.coalesce("start_line", F.lit(1)).alias("start_line"), "content")
+    suspected = kept(texts.mapInPandas(suspects, "key long, chunk_id string, start_line int, content string, grams array<long>"))
+    grams = suspected.select("key", F.explode("grams").alias("gram"))
+    known = anchors.select("gram", "value")
+    told = grams.join(F.broadcast(known), "gram") if small else salted_join(grams, known, "gram")
+    values = told.groupBy("key").agg(F.collect_set("value").alias("values"))
+    return suspected.drop("grams").join(values, "key").drop("key").mapInPandas(located, "chunk_id string, line int, start int, stop int, value string")
 
 
 def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs an automaton of a batch's values over its lines and keeps the places of the value each row asks for."""
+    """Runs an automaton of a batch's values over its texts and keeps the places where a value is no part of a longer word."""
     import ahocorasick
 
     for b in batches:
         automaton = ahocorasick.Automaton()
-        for v in set(b["value"]):
+        for v in {v for own in b["values"] for v in own}:
             automaton.add_word(v, v)
         automaton.make_automaton()
         rows = []
         for r in b.itertuples(index=False):
-            for end, v in automaton.iter(r.text):
-                if v == r.value:
-                    rows.append((r.chunk_id, r.line, r.start + end + 1 - len(v), r.start + end + 1, v))
+            text = r.content
+            for end, v in automaton.iter(text):
+                start = end + 1 - len(v)
+                if v[0].isalnum() and text[start - 1 : start].isalnum() or v[-1].isalnum() and text[end + 1 : end + 2].isalnum():
+                    continue
+                rows.append((r.chunk_id, r.start_line + text.count("\n", 0, start), start, end + 1, v))
         yield pd.DataFrame(rows, columns=["chunk_id", "line", "start", "stop", "value"])
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.llm import p1_syntax, p2_credentials, p5_origin
-from lodestack.llm.credentials import candidates, credential_name, working
+from lodestack.llm.credentials import candidates, probable, credential_name, working
 from lodestack.llm.grammars import valid
 from lodestack.llm.lexers import CODE, LEXERS, brackets, joined
 
@@ -129,6 +129,35 @@ def test_credentials_over_owners(spark):
     assert one == "a '******' b"
 
 
+def test_credentials_without_limits(spark):
+    """Minified lines, long, short and odd values, values inside longer runs and over several lines, and hot values."""
+    long = "Zq7" + "aB3x9" * 1200
+    minified = "var a=1;" * 900 + "apiToken='Kp93-xVbQ-71';" + "f(a);" * 900
+    lines = KEY.split("\n")
+    texts = {
+        "a1": "x\npassword = 'aB3$x9!'", "a2": "call(aB3$x9!)", "b1": "secret = 'R4reValue77xyQ'", "b2": "v = pre.R4reValue77xyQ; w", "b3": "v = preR4reValue77xyQ", "c1": minified, "c2": "\n\nuse('Kp93-xVbQ-71')",
+        "d1": f"token = '{long}'", "d2": "/* " + long + " */", "e1": KEY, "e2": "before\n" + KEY + "\nafter", "f1": "pwd = 'wWd9Ze?JlGty'", "f2": "# wWd9Ze?JlGty", "g": "other text " + lines[1], "h1": "client_secret = 'übergrö\u00dfe-7\U0001f600x'", "h2": "\U0001f600 übergrö\u00dfe-7\U0001f600x",
+    }
+    rows = [(k, "c", "o/r", f"{k}.py", 1, t) for k, t in texts.items()] + [(f"n{i}", "c", "o/r", f"n{i}.py", 5, "v = call('R4reValue77xyQ')") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "id string, commit_sha string, repository string, file string, start_line int, content string")
+    commits = spark.createDataFrame([("c", "o/r")], "commit_sha string, repository string")
+    got = {tuple(r) for r in p2_credentials.credentials(chunks, commits).select("chunk_id", "line").distinct().collect()}
+    want = {("a1", 2), ("a2", 1), ("b1", 1), ("b2", 1), ("c1", 1), ("c2", 3), ("d1", 1), ("d2", 1), ("e1", 1), ("e2", 2), ("f1", 1), ("f2", 1), ("h1", 1), ("h2", 1)} | {(f"n{i}", 5) for i in range(200)}
+    assert got == want
+
+
+@pytest.mark.parametrize("bits", [10, 17, 20])
+def test_filter_knows_all_grams(spark, bits):
+    values = [f"v{i}-Ab{i * 7}" for i in range(500)] + ["aB3$x9", "ünïcödé1"]
+    anchors = spark.createDataFrame([(v,) for v in values], "value string").select("value", p2_credentials.anchor_of("value").alias("a")).select("value", "a.*")
+    table = p2_credentials.bloom(anchors, bits)
+    known = {r.value: r.gram for r in anchors.collect()}
+    assert all(known[v] in probable(f"x {v} y", table, bits) for v in values)
+    if bits == 20:
+        assert sum(len(probable(f"w{i} q{i}/z", table, bits)) for i in range(2000)) < 20
+    assert not p2_credentials.bloom(anchors.limit(0), 20).any() and probable("", table, bits) == [] == probable("ab", table, bits)
+
+
 def test_origin_features():
     assert p5_origin.giveaway("a/b.py", "# Code generated by x. DO NOT EDIT.\nx = 1\n") and p5_origin.giveaway("node_modules/x/a.js", "a()") and p5_origin.giveaway("a/x_pb2.py", "")
     assert not p5_origin.giveaway("src/vendors/a.py", "# ids are generated by the server; do not edit them in place\nbanner = '@generated'\n")
