@@ -101,9 +101,13 @@ def test_tiling():
         assert all(a[i : i + n] == b[j : j + n] and n >= 3 for i, j, n in fast)
         assert sum(n for *_, n in fast) >= 0.8 * sum(n for *_, n in slow)
     x = [f"w{i}" for i in range(40)]
-    own = [True] * 40
-    assert passage(tiles(x, ["z"] * 5 + x[3:10] + ["new"] + x[11:20] + ["z"] * 5, 3), own)[0] >= 15
-    assert passage(tiles(x, x[30:] + x[:30], 3), own)[1] == 1.0
+    own = list(range(38))
+    told = lambda b, own=own: passage(tiles(x, b, 3), own, 40, 3)
+    assert told(["z"] * 5 + x[3:10] + ["new"] + x[11:18] + ["z"] * 5)[0] == 15 and told(x[3:10] + ["new"] + x[11:17])[0] == 14
+    assert told(x[30:] + x[:30])[1] == 1.0
+    assert told(["other" if i % 4 == 3 else y for i, y in enumerate(x[:17])])[0] >= 15
+    assert told(x[:30], list(range(20, 38)))[0] < 15 and told(x[:36], list(range(20, 38)))[0] >= 15  # the first 20 words are an instruction
+    assert told([], own) == (0, 0.0) == told(x, [])
     assert words("**Map** `fold_left-Item` it's") == ["map", "foldleftitem", "its"]
 
 
@@ -120,6 +124,19 @@ def test_leaks(spark):
     assert p6_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string").limit(0), items).count() == 0
 
 
+def test_leaks_of_repeated_items_and_replaced_words(spark):
+    """An item in three suites, with other instructions too, is found for each; so are passages with every fourth word replaced."""
+    text = " ".join(f"v{i}" for i in range(60))
+    heads = ["", "", "State in one word which of the lines below is wrong: ", "Read this and answer briefly, without any code or list. "]
+    rows = [(k, h + text) for k, h in enumerate(heads)] + [(20 + k, h + " ".join(f"u{k}y{i}" for i in range(50))) for k, h in enumerate(heads * 3)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    w = text.split()
+    changed = [x if i % 4 != 3 else "other" for i, x in enumerate(w[10:27])]
+    docs = [(1, "so " + text), (2, "and " + " ".join(changed) + " then"), (3, " ".join(w[30:44])), (4, "State in one word which of the lines below is wrong: " + " ".join(w[:8])), (5, " ".join(x for y in w[10:26] for x in (y, "the")[: 1 + (int(y[1:]) % 4 == 0)]))]
+    got = sorted(map(tuple, p6_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()))
+    assert got == [(d, k) for d in (1, 2, 5) for k in range(4)]
+
+
 def test_quotas():
     tokens, target, repeats = {"a": 1000, "b": 100, "c": 0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 3, "c": 2}
     take, exponent = p7_mixture.quotas(tokens, target, repeats)
