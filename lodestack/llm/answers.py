@@ -6,6 +6,8 @@ import json
 import re
 from collections import Counter
 
+import numpy as np
+
 #: Frequent short words that tell languages in Latin script apart.
 STOPWORDS = {
     "en": "the and is are was were of to in that it this for with on not be by at from or as an we you our but has have no does do did should first so if its their which what why when after before then both every one".split(),
@@ -22,7 +24,8 @@ for _lang, _words in STOPWORDS.items():
 for _w, _by in WEIGHTS.items():
     for _lang in _by:
         _by[_lang] = 1.0 / len(_by)
-MARKS = {"de": "äöüß", "fr": "àâçèêëîïôœùû", "es": "ñ¿¡", "pt": "ãõ"}
+MARKS = {"de": set("äöüß"), "fr": set("àâçèêëîïôœùû"), "es": set("ñ¿¡"), "pt": set("ãõ")}
+LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SCRIPTS = [("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힣]")), ("zh", re.compile(r"[一-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")), ("el", re.compile(r"[Ͱ-Ͽ]"))]
 #: How prompts name the language of the answer.
 ASKED = {
@@ -51,11 +54,26 @@ def values(x: object) -> list[str]:
     return [x] if isinstance(x, str) else []
 
 
+JSON_START = re.compile(r"(?m)^[ \t]*(?:```(?:json)?[ \t]*\n\s*)?(?=[{\[]\s*(?:[\"{\[\]}]|$))", re.I)
+BLOCK = re.compile(r"(?m)^[ \t]*(```|~~~)[^\n]*(?:\n[\s\S]*?(?:^[ \t]*\1[ \t]*$|\Z)|\Z)")
+
+
+def json_start(s: str) -> re.Match | None:
+    """Where an answer's JSON begins: at the start of a line, wherever, but not inside a block of other code."""
+    blocks, block = BLOCK.finditer(s), None
+    for m in JSON_START.finditer(s):
+        while block is None or block and block.end() <= m.start():
+            block = next(blocks, False)
+        if not block or m.start() <= block.start():
+            return m
+    return None
+
+
 def body_of(text: str) -> tuple[str, object | None, bool]:
     """(kind, JSON value, unclosed): kind is json if the answer, after any opening words, is JSON, else text."""
     s = text.strip()
-    m = re.search(r"(?m)^[ \t]*(?:```(?:json)?[ \t]*\n\s*)?(?=[{\[]\s*(?:[\"{\[\]}]|$))", s)
-    if not m or m.start() > 400:
+    m = json_start(s)
+    if not m:
         return "text", None, False
     body = s[m.end() :]
     depth, string, escape, end = 0, False, False, None
@@ -115,13 +133,13 @@ def is_empty(text: str | None) -> bool:
         if lines and all(re.match(r"\s*#", x) for x in lines):
             return True
     words = [w for w in MARKUP.split(rest) if w]
-    return all(FILLERS.match(w) for w in words) if len(words) <= 3 else False
+    return all(FILLERS.match(w) for w in words)
 
 
 def language(text: str) -> str | None:
     """The language that most of a prose text is in; None if it says too little."""
     counts: Counter = Counter()
-    for lang, script in SCRIPTS:
+    for lang, script in SCRIPTS if not text.isascii() else ():
         n = len(script.findall(text))
         if n:
             counts[lang] = n
@@ -131,17 +149,18 @@ def language(text: str) -> str | None:
         counts["ja"] += ja
         counts["zh"] -= ja
     latin: Counter = Counter()
-    words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text.lower())
+    words = LETTERS.findall(text.lower())
     n_latin = 0
-    for w in words:
+    for w, n in Counter(words).items():
         if w[0] > "ɏ":
             continue
-        n_latin += len(w)
+        n_latin += len(w) * n
         for lang, x in WEIGHTS.get(w, {}).items():
-            latin[lang] += x
-        for lang, marks in MARKS.items():
-            if any(c in marks for c in w):
-                latin[lang] += 0.5
+            latin[lang] += x * n
+        if not w.isascii():
+            for lang, marks in MARKS.items():
+                if not marks.isdisjoint(w):
+                    latin[lang] += 0.5 * n
     best = max(counts, key=counts.get, default=None)
     if best and counts[best] * 2.5 >= n_latin:
         return best if counts[best] >= 4 else None
@@ -154,14 +173,9 @@ def language(text: str) -> str | None:
 def wanted(prompt: str) -> str | None:
     """The language that the prompt asks for, else its own."""
     t = FENCE.sub("\n", prompt)
-    lines = [x for x in t.split("\n") if x.strip()]
-    for line in reversed(lines[-6:]):
-        for m in ASKS.finditer(line):
-            lang = ASKED_WORDS.get((m["a"] or m["b"] or m["c"]).lower())
-            if lang:
-                return lang
-    own = "\n".join([*lines[:1], *lines[-3:]])
-    return language(CODE.sub(" ", own)) or language(CODE.sub(" ", t))
+    asked = [ASKED_WORDS.get((m["a"] or m["b"] or m["c"]).lower()) for m in ASKS.finditer(QUOTED.sub(" ", t))]
+    named = [x for x in asked if x]
+    return named[-1] if named else language(CODE.sub(" ", t))
 
 
 #: How answers decline, by language; they count outside quotations only.
@@ -194,21 +208,19 @@ def is_refusal(text: str) -> bool:
     outer = t
     if len(QUOTED.sub("", t).strip()) > 15:
         outer = QUOTED.sub(" ", t)
-    m = REFUSALS.search(outer)
-    if not m or len(t) > 700:
+    if not REFUSALS.search(outer):
         return False
     sentences = [x for x in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|\n+", outer) if x.strip()]
-    declining = [i for i, x in enumerate(sentences) if REFUSALS.search(x)]
-    rest = [x for i, x in enumerate(sentences) if i not in declining and FINDINGS.search(x)]
-    first = declining[0] if declining else 0
-    return not rest and first <= 2
+    return not any(FINDINGS.search(x) for x in sentences if not REFUSALS.search(x))
+
+
+RUNS, UNSPACED = re.compile(r"\w+"), re.compile(r"[぀-ヿ一-鿿]")
 
 
 def grams(text: str) -> set[str]:
-    t = re.sub(r"[^\w]+", " ", text.lower()).split()
     units: list[str] = []
-    for w in t:
-        units.extend(w if re.search(r"[぀-ヿ一-鿿]", w) else [w])
+    for w in RUNS.findall(text.lower()):
+        units.extend(w if not w.isascii() and UNSPACED.search(w) else [w])
     return {" ".join(units[i : i + 4]) for i in range(len(units) - 3)}
 
 
@@ -228,47 +240,67 @@ W = r"(?:(?![぀-ヿ一-鿿])\w)"
 TOKEN = re.compile(rf"\n[ \t]*\n\s*|`[^`\n]*`|https?://[^\s，。]+|[A-Za-z0-9_.-]*/[A-Za-z0-9_./-]+|[A-Za-z0-9_]+\.(?:config\.)?[a-z]{{1,4}}(?![A-Za-z0-9_])|[぀-ヿ一-鿿]|\d[\d.,]*\d|\d|{W}+(?:['’-]{W}+)*|[^\w\s]")
 
 
-def tail_tokens(text: str) -> list[tuple[str, int]]:
-    """(token, end) with names, paths, numbers and breaks as one token each."""
-    out = []
-    for m in TOKEN.finditer(text):
-        x = m[0]
-        if x[0] == "\n":
-            y = "¶"
-        elif x[0] == "`" and "/" in x:
-            y = "<path>"
-        elif x[0] == "`" or re.search(r"^[a-z]+[A-Z]|_", x) or re.search(r"^[A-Za-z0-9_]+\.(?:config\.)?[a-z]{1,4}$", x) and not x[0].isdigit():
-            y = "<file>" if "." in x and "`" not in x else "<name>"
-        elif "/" in x and len(x) > 2:
-            y = "<path>"
-        elif x[0].isdigit():
-            y = "<n>"
-        else:
-            y = x.lower()
-        out.append((y, m.end()))
-    return out
+KNOWN: dict[str, tuple[str, int]] = {}
 
 
-def patterns(toks: list[str]) -> list[str]:
-    """What precedes an end, from the particular to the general; a star is any one token."""
-    six = ["¶", "¶", "¶", "¶", "¶", "¶", *toks][-6:]
-    t = six[2:]
-    return [" ".join(t), " ".join([*six[:2], "*", "*", t[2], "*"]), " ".join([*six[1:4], "*", "*"]), " ".join([t[1], "*", t[3]]), " ".join(t[1:]), " ".join([*t[:3], "*"]), " ".join([t[0], "*", t[2], "*"]), " ".join([*t[:2], "*", "*"]), " ".join(t[2:]), " ".join([*t[1:3], "*"]), t[3]]
+def classed(x: str) -> str:
+    """A token's class: names, paths, numbers and breaks are one each, words count in lower case."""
+    if x[0] == "\n":
+        return "¶"
+    if x[0] == "`" and "/" in x:
+        return "<path>"
+    if x[0] == "`" or re.search(r"^[a-z]+[A-Z]|_", x) or re.search(r"^[A-Za-z0-9_]+\.(?:config\.)?[a-z]{1,4}$", x) and not x[0].isdigit():
+        return "<file>" if "." in x and "`" not in x else "<name>"
+    if "/" in x and len(x) > 2:
+        return "<path>"
+    return "<n>" if x[0].isdigit() else x.lower()
 
 
-def end_grams(text: str) -> list[tuple[str, bool]]:
-    """The patterns before each place of an answer, and whether a sentence or line ends there."""
-    toks = tail_tokens(text)
-    words, last = [t for t, _ in toks], len(text.rstrip())
-    out = []
-    for i, (t, e) in enumerate(toks):
-        if t[0].isalnum() or t[0] == "<":
-            ends = e >= last or bool(re.match(r"[\"'”’»)」*]*(?:[.!?。！？…]|\n)", text[e : e + 3]))
-            out.extend((x, ends) for x in patterns(words[max(i - 5, 0) : i + 1]))
-    return out
+#: What precedes an end, from the particular to the general: which of the last six tokens a pattern holds; the others are any.
+PATTERNS = ((2, 3, 4, 5), (0, 1, 4), (1, 2, 3), (3, 5), (3, 4, 5), (2, 3, 4), (2, 4), (2, 3), (4, 5), (3, 4), (5,))
+#: The pattern that is the last token alone.
+GENERAL = len(PATTERNS) - 1
+ENDED = re.compile(r"[\"'”’»)」*]*(?:[.!?。！？…]|\n)")
 
 
-def ending(text: str) -> tuple[str, list[str]]:
+def coded(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: hashes of the patterns that end with it, whether it is a word, and where it ends."""
+    from xxhash import xxh64_intdigest
+
+    kinds, words, ends = [], [], []
+    for m in TOKEN.finditer(text):
+        x = m[0]
+        known = KNOWN.get(x)
+        if known is None:
+            y = classed(x)
+            known = xxh64_intdigest(y), y[0].isalnum() or y[0] == "<"
+            if len(KNOWN) > 200_000:
+                KNOWN.clear()
+            if len(x) < 40:
+                KNOWN[x] = known
+        kinds.append(known[0])
+        words.append(known[1])
+        ends.append(m.end())
+    start = xxh64_intdigest("¶")
+    h = np.array([*[start] * 5, *kinds], dtype=np.uint64)
+    codes = np.empty((len(kinds), len(PATTERNS)), dtype=np.uint64)
+    for p, held in enumerate(PATTERNS):
+        x = np.full(len(kinds), p + 1, dtype=np.uint64)
+        for k in held:
+            x = (x ^ h[k : k + len(kinds)]) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(31)
+        codes[:, p] = x * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(29))
+    return codes, np.array(words, dtype=bool), np.array(ends, dtype=np.int64)
+
+
+def end_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns before each word's end in an answer, one row a word, and whether a sentence or line ends there."""
+    codes, words, ends = coded(text)
+    last = len(text.rstrip())
+    return codes[words], np.array([e >= last or ENDED.match(text, e, e + 3) is not None for e in ends[words].tolist()], dtype=bool)
+
+
+def ending(text: str) -> tuple[str, list[int]]:
     """How an answer ends: whole, cut, or open with the patterns before its end, for the corpus to tell."""
     kind, _, unclosed = body_of(text)
     if kind == "json":
@@ -295,23 +327,21 @@ def ending(text: str) -> tuple[str, list[str]]:
         return "whole", []
     if core and (core[-1] in ",;:，、；：/(&=+-–—\\" or not core[-1].isalnum() and core[-1] not in "%>"):
         return "cut", []
-    return "open", patterns([t for t, _ in tail_tokens(s.rstrip("*_"))])
+    return "open", coded(s.rstrip("*_"))[0][-1:].astype(np.int64).ravel().tolist()
 
 
-def defects(text: str | None, prompt: str | None) -> tuple[list[str], list[str]]:
+def defects(text: str | None, prompt: str | None) -> tuple[list[str], list[int]]:
     """Defects that one answer shows by itself, and the patterns before an end that only the corpus can judge."""
     if is_empty(text):
         return ["empty"], []
-    if prompt and copies(text, prompt):
-        cut = ending(text)[0] == "cut" and not prompt.rstrip().endswith(text.rstrip()[-20:])
-        return ["copies_prompt"], []
-    out = []
+    out = ["copies_prompt"] if prompt and copies(text, prompt) else []
     how, runs = ending(text)
+    if out and (how == "open" or RUNS.findall(text.lower())[-4:] == RUNS.findall(prompt.lower())[-4:]):  # a copy ends where its prompt does
+        how, runs = "whole", []
     if how == "cut":
         out.append("truncated")
     if is_refusal(text):
         out.append("refusal")
-        runs = []
     if prompt:
         want, have = wanted(prompt), language(prose(text))
         if want and have and want != have:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +55,45 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     spread = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+#: Bits of a Bloom filter for each hash in it, and its bits at least and at most, as powers of two: no more than 64 MiB are broadcast.
+FILTER_EACH, FILTER_LEAST, FILTER_MOST = 32, 20, 29
+#: A hash sets the bits that it names after each of these shifts.
+SHIFTS = (0, 7, 14, 21, 28, 35)
+#: Bits of a filter that one row brings to the driver, as a power of two.
+BLOCK_BITS = 16
+
+
+def filter_bits(n: int) -> int:
+    """The size of the filter for n hashes, as a power of two."""
+    return min(FILTER_MOST, max(FILTER_LEAST, math.ceil(math.log2(max(1, n * FILTER_EACH)))))
+
+
+def filter_of(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A Bloom filter of 2 ** bits bits over a column of 64-bit hashes. Blocks of it are put together by the executors; the driver gets no more than its bytes, however many hashes there are."""
+    block = min(BLOCK_BITS, bits)
+    named = F.array(*(F.shiftrightunsigned(column, k).bitwiseAND((1 << bits) - 1) for k in SHIFTS))
+    place = hashes.where(F.col(column).isNotNull()).select(F.explode(named).alias("bit"))
+    places = place.select(F.shiftright("bit", block).alias("block"), F.col("bit").bitwiseAND((1 << block) - 1).cast("int").alias("place")).distinct()
+
+    def filled(own: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << block, dtype=np.uint8)
+        on[own["place"].to_numpy()] = 1
+        return pd.DataFrame({"block": own["block"].iloc[:1], "data": [np.packbits(on, bitorder="little").tobytes()]})
+
+    out, size = np.zeros(1 << (bits - 3), dtype=np.uint8), 1 << (block - 3)
+    for r in places.groupBy("block").applyInPandas(filled, "block long, data binary").toLocalIterator():
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, dtype=np.uint8)
+    return out
+
+
+def in_filter(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """The places of the unsigned 64-bit hashes that the filter may hold."""
+    at, mask = np.arange(len(hashes)), np.uint64((1 << bits) - 1)
+    for k in SHIFTS:
+        b = (hashes[at] >> np.uint64(k)) & mask
+        at = at[(table[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        if not len(at):
+            break
+    return at

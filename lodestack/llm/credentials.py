@@ -154,7 +154,6 @@ def candidates(text: str, ext: str) -> list[tuple[int, int, int, str, str]]:
 
 #: Characters of the gram by which texts are searched for a value, and of that for values shorter than it.
 GRAM, SHORT = 8, 6
-MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 | 1) for k in range(6)]
 
 
 def gram_hashes(text: str, size: int) -> np.ndarray:
@@ -174,23 +173,15 @@ def anchor(value: str) -> int:
     """The hash of the gram of a value with the most different characters, digits before letters, and without blanks if there is one. Every working value has ``SHORT`` characters."""
     size = GRAM if len(value) >= GRAM else SHORT
     best = max(range(len(value) - size + 1), key=lambda i: (not any(c.isspace() for c in value[i : i + size]), len(set(value[i : i + size])), sum(c.isdigit() for c in value[i : i + size]), -i))
-    return int(gram_hashes(value[best : best + size], size)[0])
-
-
-def probes(h: int) -> list[int]:
-    """Where a filter of 2 ** 64 bits has those of a hash; smaller ones take the leading bits."""
-    return [int(x) for x in (np.full(1, h, dtype=np.uint64) * np.array(MIX, dtype=np.uint64))]
+    return int(gram_hashes(value[best : best + size], size).astype(np.int64)[0])
 
 
 def probable(text: str, table: np.ndarray, bits: int) -> list[int]:
     """The hashes of grams of a text that the filter knows, as signed numbers."""
+    from lodestack.llm.common import in_filter
+
     out: list[int] = []
     for size in (GRAM, SHORT):
         h = gram_hashes(text, size)
-        for mix in MIX:
-            at = (h * mix) >> np.uint64(64 - bits)
-            h = h[(table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            if not len(h):
-                break
-        out.extend(np.unique(h).astype(np.int64).tolist())
+        out.extend(np.unique(h[in_filter(h, table, bits)]).astype(np.int64).tolist())
     return out

@@ -6,7 +6,7 @@
 3. Every text is scanned again for the confirmed values under any name. One gram of each value (eight characters, or six of a
    shorter one) goes into a Bloom filter, sized by their number; all grams of all texts are tested against it, at every offset.
    Texts with a hit, an equi-join on the grams brings their values, and an automaton built from these reads the texts again and
-   tells the places. More values than one filter of ``BLOOM_MOST`` bits holds take several passes.
+   tells the places. More values than one filter of 2 ** ``FILTER_MOST`` bits holds take several passes.
 
 Cases: null contents give nothing; a line in two chunks is reported for both; repeated deliveries count once; empty tables give
 empty results; values, lines and texts may be of any length; a value is found again inside longer runs, but not inside a word.
@@ -24,15 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import cut, extension, kept, latest, salted_join
+from lodestack.llm.common import FILTER_EACH, FILTER_MOST, cut, extension, filter_bits, filter_of, kept, latest, salted_join
 from lodestack.sources.tables import table
 
 #: More owners than this share a placeholder, not a credential.
 MAX_OWNERS = 3
-#: Bits of the Bloom filter for each value, and its bits at least and at most, as powers of two: no more than 64 MiB are broadcast.
-BLOOM_EACH, BLOOM_LEAST, BLOOM_MOST = 32, 20, 29
-#: Bits of the filter that one row brings to the driver, as a power of two.
-BLOCK_BITS = 16
 #: Rows up to which the table of grams is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -48,13 +44,12 @@ def literals(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series([[dict(zip(names, x)) for x in candidates(t, e)] if t else [] for t, e in zip(contents, exts)], dtype=object)
 
 
-@F.pandas_udf(T.StructType([T.StructField("gram", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType()))]))
-def anchor_of(values: pd.Series) -> pd.DataFrame:
-    """The gram by which texts are searched for a value, and its bits in the filter, as fractions of 2 ** 64."""
-    from lodestack.llm.credentials import anchor, probes
+@F.pandas_udf(T.LongType())
+def gram_of(values: pd.Series) -> pd.Series:
+    """The gram by which texts are searched for a value."""
+    from lodestack.llm.credentials import anchor
 
-    grams = [anchor(v) for v in values]
-    return pd.DataFrame({"gram": [g - (1 << 64) * (g >> 63) for g in grams], "bits": [[x >> (64 - BLOOM_MOST) for x in probes(g)] for g in grams]})
+    return pd.Series([anchor(v) for v in values], dtype="int64")
 
 
 def candidate_literals(chunks: DataFrame) -> DataFrame:
@@ -76,29 +71,11 @@ def confirmed(candidates: DataFrame, commits: DataFrame) -> DataFrame:
     return salted_join(candidates, rare.select("value"), "value", "left_semi")
 
 
-def bloom(anchors: DataFrame, bits: int) -> np.ndarray:
-    """The filter, of 2 ** bits bits. Blocks of it are put together by the executors; the driver gets no more than its bytes, however many anchors there are."""
-    block = min(BLOCK_BITS, bits)
-    place = anchors.select(F.explode("bits").alias("bit")).select(F.shiftright("bit", BLOOM_MOST - bits).alias("bit"))
-    places = place.select(F.shiftright("bit", block).alias("block"), F.col("bit").bitwiseAND((1 << block) - 1).cast("int").alias("place")).distinct()
-
-    def filled(own: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(1 << block, dtype=np.uint8)
-        on[own["place"].to_numpy()] = 1
-        return pd.DataFrame({"block": own["block"].iloc[:1], "data": [np.packbits(on, bitorder="little").tobytes()]})
-
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    size = 1 << (block - 3)
-    for r in places.groupBy("block").applyInPandas(filled, "block long, data binary").toLocalIterator():
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, dtype=np.uint8)
-    return out
-
-
 def rescan(chunks: DataFrame, secrets: DataFrame) -> DataFrame:
     """chunk_id, line, start, stop, value of every place that holds one of ``secrets`` (value), under any name."""
-    anchors = kept(secrets.select("value", anchor_of("value").alias("a")).select("value", "a.gram", "a.bits"))
+    anchors = kept(secrets.select("value", gram_of("value").alias("gram")))
     n = anchors.count()
-    passes = max(1, math.ceil(n * BLOOM_EACH / (1 << BLOOM_MOST)))
+    passes = max(1, math.ceil(n * FILTER_EACH / (1 << FILTER_MOST)))
     parts = [anchors.where(F.pmod("gram", F.lit(passes)) == k) if passes > 1 else anchors for k in range(passes)]
     found = [_pass(chunks, part, math.ceil(n / passes), n <= BROADCAST_ROWS) for part in parts]
     out = found[0]
@@ -108,8 +85,8 @@ def rescan(chunks: DataFrame, secrets: DataFrame) -> DataFrame:
 
 
 def _pass(chunks: DataFrame, anchors: DataFrame, n: int, small: bool) -> DataFrame:
-    bits = min(BLOOM_MOST, max(BLOOM_LEAST, math.ceil(math.log2(max(1, n * BLOOM_EACH)))))
-    held = chunks.sparkSession.sparkContext.broadcast(bloom(anchors, bits))
+    bits = filter_bits(n)
+    held = chunks.sparkSession.sparkContext.broadcast(filter_of(anchors, "gram", bits))
 
     def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Texts that may hold a value, with the grams that tell so."""

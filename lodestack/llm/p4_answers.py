@@ -12,22 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import cut, latest
+from lodestack.llm.answers import GENERAL
+from lodestack.llm.common import cut, filter_bits, filter_of, in_filter, latest
 from lodestack.sources.tables import table
 
 #: Occurrences that a pattern needs before it tells anything, and the share of ends below which an ending is abrupt.
 LEAST, SHARE = 6, 0.5
 STRINGS = T.ArrayType(T.StringType())
-JUDGED = T.StructType([T.StructField("defects", STRINGS), T.StructField("before", STRINGS)])
-#: Patterns that a task gathers before it hands their counts on.
-GATHERED = 100_000
-
-
+JUDGED = T.StructType([T.StructField("defects", STRINGS), T.StructField("before", T.ArrayType(T.LongType()))])
 @F.pandas_udf(JUDGED)
 def judged(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     from lodestack.llm.answers import defects
@@ -36,27 +34,30 @@ def judged(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
         yield pd.DataFrame([defects(t, p) for t, p in zip(texts, prompts)], columns=["defects", "before"])
 
 
-def pattern_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """pattern, n, ends over the answers of a task, added up as far as memory allows."""
-    from lodestack.llm.answers import body_of, end_grams
+def pattern_counts(answers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pattern, n, ends: how often each of ``wanted`` (pattern) stands in answers (raw_response), and before an end. Other patterns are dropped where they are found, by a Bloom filter sized by the number of wanted ones."""
+    bits = filter_bits(wanted.count())
+    held = answers.sparkSession.sparkContext.broadcast(filter_of(wanted, "pattern", bits))
 
-    counts: dict[str, list[int]] = {}
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from lodestack.llm.answers import body_of, end_grams
 
-    def frame() -> pd.DataFrame:
-        return pd.DataFrame([(g, *c) for g, c in counts.items()], columns=["pattern", "n", "ends"])
+        table = held.value
+        for batch in batches:
+            seen, ended = [], []
+            for t in batch["raw_response"]:
+                if body_of(t)[0] == "text":
+                    codes, ends = end_grams(t)
+                    flat = codes.ravel()
+                    at = in_filter(flat, table, bits)
+                    seen.append(flat[at])
+                    ended.append(ends[at // codes.shape[1]])
+            if seen:
+                keys, place = np.unique(np.concatenate(seen), return_inverse=True)
+                yield pd.DataFrame({"pattern": keys.astype(np.int64), "n": np.bincount(place, minlength=len(keys)), "ends": np.bincount(place, np.concatenate(ended), len(keys)).astype(np.int64)})
 
-    for batch in batches:
-        for t in batch["raw_response"]:
-            if not t or body_of(t)[0] != "text":
-                continue
-            for g, e in end_grams(t):
-                c = counts.setdefault(g, [0, 0])
-                c[0] += 1
-                c[1] += e
-            if len(counts) > GATHERED:
-                yield frame()
-                counts.clear()
-    yield frame()
+    every = answers.where("raw_response <> ''").select("raw_response").mapInPandas(counted, "pattern long, n long, ends long")
+    return every.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).join(wanted, "pattern", "left_semi")
 
 
 def answer_defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -67,13 +68,10 @@ def answer_defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
     plain = rows.select(F.col("id").alias("response_id"), F.explode("j.defects").alias("defect"))
 
     open_ends = rows.where("size(j.before) > 0").select("id", F.posexplode("j.before").alias("place", "pattern"))
-    wanted = open_ends.select("pattern").distinct()
-    every = answers.where("raw_response is not null").select("raw_response").mapInPandas(pattern_counts, "pattern string, n long, ends long")
-    seen = every.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).join(wanted, "pattern", "left_semi")
+    seen = pattern_counts(answers, open_ends.select("pattern").distinct())
     share = (F.col("ends") - 1) / (F.col("n") - 1)  # without the answer itself
     told = open_ends.join(seen, "pattern").where(F.col("n") > LEAST).withColumn("share", share)
-    general = ~F.col("pattern").contains(" ")
-    best = told.groupBy("id").agg(F.max_by("share", F.struct(~general, F.abs(F.col("share") - 0.5), -F.col("place"))).alias("share"))
+    best = told.groupBy("id").agg(F.max_by("share", F.struct(F.col("place") != GENERAL, F.abs(F.col("share") - 0.5), -F.col("place"))).alias("share"))
     abrupt = open_ends.select("id").distinct().join(best, "id", "left").where(F.coalesce("share", F.lit(0.0)) < SHARE)
     return plain.unionByName(abrupt.select(F.col("id").alias("response_id"), F.lit("truncated").alias("defect"))).distinct()
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.llm import p1_syntax, p2_credentials, p5_origin
+from lodestack.llm.common import filter_of
 from lodestack.llm.credentials import candidates, probable, credential_name, working
 from lodestack.llm.grammars import valid
 from lodestack.llm.lexers import CODE, LEXERS, brackets, joined
@@ -149,13 +150,13 @@ def test_credentials_without_limits(spark):
 @pytest.mark.parametrize("bits", [10, 17, 20])
 def test_filter_knows_all_grams(spark, bits):
     values = [f"v{i}-Ab{i * 7}" for i in range(500)] + ["aB3$x9", "ünïcödé1"]
-    anchors = spark.createDataFrame([(v,) for v in values], "value string").select("value", p2_credentials.anchor_of("value").alias("a")).select("value", "a.*")
-    table = p2_credentials.bloom(anchors, bits)
+    anchors = spark.createDataFrame([(v,) for v in values], "value string").select("value", p2_credentials.gram_of("value").alias("gram"))
+    table = filter_of(anchors, "gram", bits)
     known = {r.value: r.gram for r in anchors.collect()}
     assert all(known[v] in probable(f"x {v} y", table, bits) for v in values)
     if bits == 20:
         assert sum(len(probable(f"w{i} q{i}/z", table, bits)) for i in range(2000)) < 20
-    assert not p2_credentials.bloom(anchors.limit(0), 20).any() and probable("", table, bits) == [] == probable("ab", table, bits)
+    assert not filter_of(anchors.limit(0), "gram", 20).any() and probable("", table, bits) == [] == probable("ab", table, bits)
 
 
 def test_origin_features():

@@ -111,6 +111,25 @@ def test_tiling():
     assert words("**Map** `fold_left-Item` it's") == ["map", "foldleftitem", "its"]
 
 
+def test_answers_without_limits():
+    """Long refusals, JSON after a long preamble, requests at the top of long prompts, many fillers, and every defect of one answer."""
+    from lodestack.llm.answers import defects, end_grams
+
+    sorry = "I am sorry, but I cannot review this. " + "There are rules for this kind of thing and they are what they are for all of us here. " * 12
+    assert "refusal" in defects(sorry, "Review this.")[0] and defects(sorry + "`foldMap` loses 3 rows in a.ts.", "Review this.")[0] == []
+    assert "refusal" in defects("The text is long. It has parts. They are many. So I must decline.", "Review this.")[0]
+    preamble = "Here is what was found in the change after a close look at all of it. " * 10
+    assert defects(preamble + '\n{"summary": "Fine.", "issues": []}', "Review this.")[0] == [] and defects(preamble + '\n{"summary": "Fine.", "issues": [', "Review this.")[0] == ["truncated"]
+    asks = "Answer in German.\n" + "The cache is emptied too early and the queue then loses its messages.\n" * 30
+    german = "Die Warteschlange verliert ihre Nachrichten, weil der Cache zu früh geleert wird."
+    assert defects(german, asks)[0] == [] and defects("The queue loses what it holds because the cache is cleared too early.", asks)[0] == ["other_language"]
+    assert defects("N/A " * 8, "x")[0] == ["empty"] and defects(None, None)[0] == ["empty"] and defects("- **TODO** TODO TODO TBD n/a\n", "x")[0] == ["empty"]
+    assert defects(asks, asks)[0] == ["copies_prompt", "other_language"]
+    assert defects("```ts\nlet a = {\n  b: 1,\n};\n```\nIt is fine.", "Review this.")[0] == []  # braces in code are no JSON
+    codes, ends = end_grams("The cache is full. So it is.")
+    assert codes.shape == (7, 11) and ends.tolist() == [False, False, False, True, False, False, True] and end_grams("")[0].shape == (0, 11)
+
+
 def test_leaks(spark):
     own = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(6)]
     head = "You are given a change set and the rules of the project; name every defect. "
