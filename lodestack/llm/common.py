@@ -57,6 +57,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with work for every core: as it is if it has as many partitions, else dealt out anew. For costly work on few files only; large inputs aren't shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 #: Bits of a Bloom filter for each hash in it, and its bits at least and at most, as powers of two: no more than 64 MiB are broadcast.
 FILTER_EACH, FILTER_LEAST, FILTER_MOST = 32, 20, 29
 #: A hash sets the bits that it names after each of these shifts.

@@ -3,8 +3,9 @@
 Learned without labels, per language, from all documents: which words begin and end lines of their own (starters and enders),
 which stand before a period in the middle of sentences (abbreviations), and which follow a period's word as a rule
 (collocations), each by log-likelihood ratios of counts. Every period, mark, line break and, in Thai, space is then classified
-with these statistics (``sentences``). The counting is one distributed aggregation; what is broadcast is the learned model, of at
-most ``MODEL_ROWS`` words, the most frequent first.
+with these statistics (``sentences``). The counting is one distributed aggregation. Of the learned model, the ``MODEL_ROWS`` most
+frequent rows are broadcast; if there are more, each text names its other words, by a Bloom filter of the rest, and gets their rows
+by a join, so that every text is split by the whole model.
 
 Cases: null and blank texts have no units; a text without any mark is units by its lines; copies of a text are split alike; very
 long texts are split whole; null and wrong languages are replaced by what the text shows.
@@ -15,13 +16,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestack.llm.common import HUMAN, kept, spelling
+from lodestack.llm.common import HUMAN, filter_bits, filter_of, in_filter, kept, salted_join, spelling, spread
 from lodestack.sources.tables import table
 
+#: Rows of the model that are broadcast.
 MODEL_ROWS = 200_000
 #: Log-likelihood ratios above this are not chance (0.5 %); occurrences that make a word's absence from starts and ends telling.
 CHANCE, OFTEN = 7.88, 8
@@ -43,8 +47,7 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, label in zip(batch["text"], batch["lang"]):
             lang = language(CODE.sub(" ", text)) or label
             for (kind, a, b), n in events(text, lang).items():
-                if len(a) < 60:
-                    total[lang, kind, a, b] += n
+                total[lang, kind, a, b] += n
             if len(total) > GATHERED:
                 yield frame()
                 total.clear()
@@ -99,32 +102,82 @@ def periods(counts: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]
     return short.select("lang", "a", "n"), follow.select("lang", "a", "b", F.col("m").alias("n"))
 
 
-def learned(documents: DataFrame) -> dict[str, dict]:
-    """The model: for every language starts, ends, short and pairs, as ``sentences.Model`` takes them."""
+def model_rows(documents: DataFrame) -> DataFrame:
+    """what, lang, a, b, value, n: the model, one row a word or pair; what is starts, ends, short or pairs, as ``sentences.Model`` takes them."""
     counts = kept(documents.mapInPandas(counted, "lang string, kind string, a string, b string, n long").groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")))
     starts = kept(tendency(counts, "s"))
     ends = tendency(counts.where("a not like '^%'"), "e")
     short, pairs = periods(counts, starts)
     empty = F.lit("").alias("b")
-    rows = (
+    return kept(
         starts.where("value <> 0").select(F.lit("starts").alias("what"), "lang", "a", empty, "value", "n")
         .unionByName(ends.where("value <> 0").select(F.lit("ends").alias("what"), "lang", "a", empty, "value", "n"))
         .unionByName(short.select(F.lit("short").alias("what"), "lang", "a", empty, F.lit(1.0).alias("value"), "n"))
         .unionByName(pairs.select(F.lit("pairs").alias("what"), "lang", "a", "b", F.lit(1.0).alias("value"), "n"))
     )
-    model: dict[str, dict] = {"starts": {}, "ends": {}, "short": {}, "pairs": {}}
-    for r in rows.orderBy(F.desc("n"), "what", "lang", "a", "b").limit(MODEL_ROWS).collect():
-        if r.what in ("starts", "ends"):
-            model[r.what].setdefault(r.lang, {})[r.a] = r.value
+
+
+def placed(rows, model: dict[str, dict] | None = None) -> dict[str, dict]:
+    """Rows of the model (what, lang, a, b, value) as ``sentences.Model`` takes them, added to ``model`` if there is one."""
+    model = model or {"starts": {}, "ends": {}, "short": {}, "pairs": {}}
+    for r in rows:
+        if r["what"] in ("starts", "ends"):
+            model[r["what"]].setdefault(r["lang"], {})[r["a"]] = r["value"]
         else:
-            model[r.what].setdefault(r.lang, set()).add(r.a if r.what == "short" else (r.a, r.b))
+            model[r["what"]].setdefault(r["lang"], set()).add(r["a"] if r["what"] == "short" else (r["a"], r["b"]))
     return model
 
 
+def learned(rows: DataFrame) -> tuple[dict[str, dict], DataFrame | None]:
+    """The most frequent rows of a model, and the others as a table (h: hash of the word, and their columns), or None if there are none."""
+    order = F.desc("n"), "what", "lang", "a", "b"
+    held = rows.orderBy(*order).limit(MODEL_ROWS).collect()
+    if rows.count() <= MODEL_ROWS:
+        return placed(held), None
+    last = held[-1]
+    key, mark = F.struct(-F.col("n"), "what", "lang", "a", "b"), F.struct(*(F.lit(x) for x in (-last.n, last.what, last.lang, last.a, last.b)))
+    return placed(held), kept(rows.where(key > mark).select(hash_of("a").alias("h"), "what", "lang", "a", "b", "value"))
+
+
+@F.pandas_udf(T.LongType())
+def hash_of(words: pd.Series) -> pd.Series:
+    from xxhash import xxh64_intdigest
+
+    return pd.Series([xxh64_intdigest(w) - (1 << 63) for w in words], dtype="int64")
+
+
+def rare_rows(documents: DataFrame, rest: DataFrame) -> DataFrame:
+    """doc_id, rows: the rows of ``rest`` whose words stand in a document."""
+    n = rest.count()
+    bits = filter_bits(n)
+    held = documents.sparkSession.sparkContext.broadcast(filter_of(rest, "h", bits))
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        from lodestack.llm.sentences import forms_in
+
+        table = held.value
+        for batch in batches:
+            docs, hashes = [], []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                h = np.array([xxh64_intdigest(x) - (1 << 63) for x in forms_in(text)], dtype=np.int64)
+                own = h[in_filter(h.view(np.uint64), table, bits)]
+                docs.extend([doc] * len(own))
+                hashes.extend(own.tolist())
+            yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "h": pd.Series(hashes, dtype="int64")})
+
+    words = documents.select("doc_id", "text").mapInPandas(named, "doc_id long, h long")
+    return salted_join(words, rest, "h").groupBy("doc_id").agg(F.collect_list(F.struct("what", "lang", "a", "b", "value")).alias("rows"))
+
+
 def sentence_units(documents: DataFrame) -> DataFrame:
-    """doc_id, start_char, end_char of every unit. ``documents``: doc_id, text, lang."""
-    rows = documents.where("trim(text) <> ''").select("doc_id", "text", spelling(F.col("lang"), HUMAN, "en").alias("lang"))
-    held = documents.sparkSession.sparkContext.broadcast(learned(rows.select("text", "lang")))
+    """doc_id, start_char, end_char of every unit. ``documents``: doc_id, text, lang; doc_id is unique."""
+    rows = spread(documents.where("trim(text) <> ''").select("doc_id", "text", spelling(F.col("lang"), HUMAN, "en").alias("lang")))
+    model, rest = learned(model_rows(rows.select("text", "lang")))
+    held = documents.sparkSession.sparkContext.broadcast(model)  # MODEL_ROWS rows
+    if rest is not None:
+        rows = rows.join(rare_rows(rows, rest), "doc_id", "left")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from lodestack.llm.answers import CODE, language
@@ -134,8 +187,9 @@ def sentence_units(documents: DataFrame) -> DataFrame:
         tell = lambda t: language(CODE.sub(" ", t))
         for batch in batches:
             out = []
-            for doc, text, label in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                out.extend((doc, a, b) for a, b in units(text, model, tell(text) or label, tell))
+            for doc, text, label, more in zip(batch["doc_id"], batch["text"], batch["lang"], batch["rows"] if "rows" in batch else [None] * len(batch)):
+                own = model if more is None else model.with_rows(placed(more))
+                out.extend((doc, a, b) for a, b in units(text, own, tell(text) or label, tell))
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=["doc_id", "start_char", "end_char"])
                     out = []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 
 LINE = re.compile(r"([^\r\n]*)(\r\n|\n|\r|$)")
 FENCE = re.compile(r"[ \t]*(?:>[ \t]?)*(```|~~~)")
@@ -25,10 +25,11 @@ HARD = "。！？｡।॥؟"
 CLOSERS = "\"'”’“»›」』）)]}*_"
 PAIRS = [("“", "”"), ("„", "“"), ("„", "”"), ("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』"), ("（", "）"), ("(", ")"), ("[", "]"), ("‘", "’")]
 PROTECTED = re.compile(
-    r"`[^`]*`|https?://[^\s<>\"“”«»]+|\"(?=\S)[^\"]{1,400}?(?<=\S)\"(?!\w)|(?<![\w’'])'(?=[^\s'])[^'\n]{1,120}?'(?!\w)|"
-    + "|".join(rf"{re.escape(a)}[^{re.escape(a)}{re.escape(b)}]{{1,400}}{re.escape(b)}" for a, b in PAIRS)
+    r"`[^`]*`|https?://[^\s<>\"“”«»]+|\"(?=\S)[^\"]+?(?<=\S)\"(?!\w)|(?<![\w’'])'(?=[^\s'])[^'\n]+?'(?!\w)|"
+    + "|".join(rf"{re.escape(a)}[^{re.escape(a)}{re.escape(b)}]+{re.escape(b)}" for a, b in PAIRS)
 )
 ENDING = re.compile(r"[.!?…。！？｡．।॥؟;‼⁇⁈⁉]+")
+THAI = re.compile(r"[฀-๿]")
 CASELESS = re.compile(r"[฀-๿぀-ヿ一-鿿가-힣ऀ-ॿ؀-ۿ]")
 
 
@@ -52,8 +53,7 @@ class Flow:
         self.at.extend(range(at, at + len(content)))
 
 
-def kind_of(token: str) -> str:
-    """A token's type: names of code and numbers are one type each, other words count in lower case."""
+def _kind(token: str) -> str:
     if not token:
         return ""
     if token[0].isdigit():
@@ -63,29 +63,69 @@ def kind_of(token: str) -> str:
     return token.lower()
 
 
+class Kinds(dict):
+    """kind and form of each token, worked out once while there is room."""
+
+    def __missing__(self, token: str) -> tuple[str, str]:
+        x = _kind(token)
+        found = x, "^" + x if token and token[0].isupper() and x[0] != "<" else x
+        if len(self) > 200_000:
+            self.clear()
+        if len(token) < 40:
+            self[token] = found
+        return found
+
+
+KINDS = Kinds()
+
+
+def kind_of(token: str) -> str:
+    """A token's type: names of code and numbers are one type each, other words count in lower case."""
+    return KINDS[token][0]
+
+
 def form_of(token: str) -> str:
     """As ``kind_of``, with a mark for words that begin with a capital."""
-    x = kind_of(token)
-    return "^" + x if token[0].isupper() and x[0] != "<" else x
+    return KINDS[token][1]
+
+
+BLANKS, LEAD = re.compile(r"\s*"), re.compile(rf"[{re.escape(OPENERS.replace('`', ''))} \t\xa0]*")
+#: What words never reach over, in scripts without blanks.
+EDGE = set("。！？，、；：「」『』（）【】…｡．।॥")
 
 
-def first_word(text: str) -> str:
-    m = TOKEN.match(text.lstrip(OPENERS.replace("`", "") + " \t "))
+def first_word(text: str, at: int = 0) -> str:
+    m = TOKEN.match(text, LEAD.match(text, BLANKS.match(text, at).end()).end())
     return m[0] if m else ""
 
 
-def last_word(text: str) -> str:
-    t = text.rstrip(" \t*_\"'”’»)]")
+def last_word(text: str, end: int | None = None) -> str:
+    """The last word before ``end``."""
+    end = len(text) if end is None else end
+    while end and text[end - 1] in " \t\xa0*_\"'”’»)]":
+        end -= 1
+    start = end
+    while start and not text[start - 1].isspace() and (text[start - 1] not in EDGE or start == end):
+        start -= 1
+    tick = text.rfind("`", 0, start)
+    if tick >= 0 and "`" in text[start:end] and text.count("`", start, end) % 2:  # a name in backticks with blanks in it
+        start = tick
     m = None
-    for m in TOKEN.finditer(t[-80:]):
+    for m in TOKEN.finditer(text, start, end):
         pass
     return m[0] if m else ""
 
 
+BEFORE = re.compile(rf"(?<![\w.])(?:(?:[^\W\d_]\.[ \u00a0]?)+[^\W\d_]|(?:{INITIALS.pattern}))$")
+
+
 def word_before(t: str, a: int) -> str:
     """The word before the period at a; initials and the like with their inner periods."""
-    m = re.search(rf"(?<![\w.])(?:(?:[^\W\d_]\.[ \u00a0]?)+[^\W\d_]|(?:{INITIALS.pattern}))$", t[max(0, a - 24) : a])
-    return m[0].replace(" ", "").replace("\u00a0", "") if m else last_word(t[max(0, a - 80) : a])
+    if t[a - 1 : a].isalpha() and "." in t[max(0, a - 5) : a] or not t[a - 1 : a].isascii():
+        m = BEFORE.search(t, max(0, a - 24), a)
+        if m:
+            return m[0].replace(" ", "").replace("\u00a0", "")
+    return last_word(t, a)
 
 
 def blocks(text: str, model=None, lang: str = "") -> list:
@@ -173,6 +213,22 @@ def blocks(text: str, model=None, lang: str = "") -> list:
     return out
 
 
+SPACED = re.compile(rf"({TOKEN.pattern})(\s*)")
+
+
+def wordy(token: str) -> bool:
+    return token[0].isalnum() or token[0] == "`" or not token.isascii() and CASELESS.match(token) is not None
+
+
+def count(out: Counter, words: dict[str, int]) -> None:
+    """Adds words by kind, and by form where that differs."""
+    for w, n in words.items():
+        x, y = KINDS[w]
+        out["w", x, ""] = out.get(("w", x, ""), 0) + n
+        if y != x:
+            out["w", y, ""] = out.get(("w", y, ""), 0) + n
+
+
 def events(text: str, lang: str) -> Counter:
     """What one text tells: (kind, a, b) with counts. w: word a; s: word a begins a line of its own; e: word a ends one;
     p: word a stands before a period and b after it."""
@@ -181,44 +237,71 @@ def events(text: str, lang: str) -> Counter:
         if isinstance(block, tuple):
             continue
         t = block.text
-        spans = [m.span() for m in re.finditer(r"`[^`]*`|https?://\S+", t)]
-        toks = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(t) if m[0][0].isalnum() or m[0][0] == "`" or CASELESS.match(m[0])]
-        if CASELESS.search(t) and re.search(r"[฀-๿]", t):
-            toks = [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", t)]
-        for k, (w, a, b) in enumerate(toks):
-            x = kind_of(w)
-            out["w", x, ""] += 1
-            if (y := form_of(w)) != x:
-                out["w", y, ""] += 1
-            if t[b : b + 1] == "." and t[b + 1 : b + 2] not in (*CLOSERS, ".", "_"):
-                nxt = "¶"
-                if k + 1 < len(toks):
-                    gap = t[b + 1 : toks[k + 1][1]]
-                    nxt = kind_of(toks[k + 1][0]) if gap.strip(OPENERS + " \t ") == "" else ","
-                    if nxt not in (",", "<n>", "<id>") and toks[k + 1][0][0].isupper():
-                        nxt = "^" + nxt
+        if THAI.search(t):
+            count(out, Counter(t.split()))
+        else:
+            toks = SPACED.findall(t)
+            seen = Counter([x for x, _ in toks])
+            count(out, {x: n for x, n in seen.items() if wordy(x)})
+            for k in [k for k, (x, _) in enumerate(toks) if x == "."] if "." in seen else ():
+                before, gap = toks[k - 1] if k else ("", " ")
+                if gap or not wordy(before):
+                    continue
+                gap = toks[k][1]
+                if (gap or (toks[k + 1][0] if k + 1 < len(toks) else " "))[0] in "._" + CLOSERS:
+                    continue
+                j = k + 1
+                while j < len(toks) and not wordy(toks[j][0]):
+                    gap += toks[j][0] + toks[j][1]
+                    j += 1
+                nxt = "¶" if j == len(toks) and not gap.strip() else ","
+                if j < len(toks):
                     if not gap:
                         continue
-                elif t[b + 1 :].strip():
-                    nxt = ","
-                out["p", x, nxt] += 1
+                    nxt = "," if gap.strip(OPENERS + " \t\xa0") else kind_of(toks[j][0])
+                    if nxt not in (",", "<n>", "<id>") and toks[j][0][0].isupper():
+                        nxt = "^" + nxt
+                out["p", kind_of(before), nxt] += 1
         lead = first_word(t)
         if lead:
-            out["s", form_of(lead) if not re.search(r"[฀-๿]", lead) else re.match(r"\S+", t)[0], ""] += 1
+            out["s", form_of(lead) if not THAI.search(lead) else re.match(r"\S+", t)[0], ""] += 1
         tail = last_word(t.rstrip(TERMINAL + CLOSERS + " "))
-        if re.search(r"[฀-๿]", t):
+        if THAI.search(t):
             tail = t.split()[-1]
         if tail:
-            out["e", kind_of(tail) if not re.search(r"[฀-๿]", tail) else tail, ""] += 1
+            out["e", kind_of(tail) if not THAI.search(tail) else tail, ""] += 1
     return out
 
 
+class Either:
+    """Whether one of two sets has something."""
+
+    def __init__(self, one, other):
+        self.one, self.other = one, other
+
+    def __contains__(self, x: object) -> bool:
+        return x in self.one or x in self.other
+
+
+def forms_in(text: str) -> set[str]:
+    """The kinds and forms of all words of a text, under which a model may know them."""
+    found = {y for x in {*TOKEN.findall(text)} for y in KINDS[x]}
+    return found | {y for x in set(text.split()) for y in (x, *KINDS[x])} if THAI.search(text) else found
+
+
 class Model:
     """Learned statistics of all languages: starts[lang][word] and ends[lang][word] between -1 (never) and 1 (often); short[lang]: abbreviations; pairs[lang]: an abbreviation with the word that follows it as a rule."""
 
     def __init__(self, starts: dict, ends: dict, short: dict, pairs: dict):
         self.starts, self.ends, self.short, self.pairs = starts, ends, short, pairs
 
+    def with_rows(self, more: dict[str, dict]) -> Model:
+        """This model and the rows of a text's rare words, without copying it."""
+        def joined(a: dict, b: dict) -> dict:
+            return {**a, **{lang: ChainMap(x, a.get(lang, {})) if isinstance(x, dict) else Either(x, a.get(lang, ())) for lang, x in b.items()}}
+
+        return Model(*(joined(getattr(self, k), more[k]) for k in ("starts", "ends", "short", "pairs")))
+
     def start(self, word: str, lang: str) -> float:
         """How far a word begins sentences."""
         if not word:
@@ -268,7 +351,7 @@ class Model:
 def cuts(flow: Flow, model: Model, lang: str) -> list[int]:
     """Places in a flow after which a new unit begins."""
     t = flow.text
-    if lang == "th" or len(re.findall(r"[฀-๿]", t)) > 0.3 * len(t.replace(" ", "")):
+    if lang == "th" or not t.isascii() and len(THAI.findall(t)) > 0.3 * len(t.replace(" ", "")):
         return thai(t, model)
     guarded = [(m.start(), m.end()) for m in PROTECTED.finditer(t)]
     out: list[int] = []
@@ -286,13 +369,12 @@ def cuts(flow: Flow, model: Model, lang: str) -> list[int]:
         e = b
         while e < len(t) and t[e] in CLOSERS and not (t[e] in "*_\"'" and (e + 1 < len(t) and t[e + 1].isalnum())):
             e += 1
-        rest = t[e:]
-        blank = len(rest) - len(rest.lstrip())
-        after = rest[blank:]
-        if not after:
+        f = BLANKS.match(t, e).end()
+        if f == len(t):
             return
-        w = first_word(after)
-        plain = after[0]
+        blank = f - e
+        w = first_word(t, f)
+        plain = t[f]
         s = model.start(w, lang)
         caseless = bool(CASELESS.match(w[:1] or plain))
         upper = bool(w) and w[0].isupper()
@@ -385,13 +467,16 @@ def cuts(flow: Flow, model: Model, lang: str) -> list[int]:
                 decide(a, b, True)
             i = b
             continue
-        m = ENDING.match(t, i)
+        m = ENDING.search(t, i, span[0] if span else len(t))
         if m:
+            i = m.start()
+            if span:
+                m = ENDING.match(t, i)
             if not (m[0] == ";" and lang != "el") and not (m[0] == "." and t[i - 1 : i].isdigit() and t[i + 1 : i + 2].isdigit()) and not (m[0][0] == "." and len(m[0]) == 2):
                 decide(i, m.end(), False)
             i = max(m.end(), out[-1] if out else 0)
-            continue
-        i += 1
+        else:
+            i = span[0] if span else len(t)
     return out
 
 
@@ -405,9 +490,9 @@ def thai(t: str, model: Model) -> list[int]:
         if a[-1] in TERMINAL and len(a) > 1:
             out.append(x.end())
             continue
-        s = starts.get(b if re.search(r"[฀-๿]", b) else kind_of(b), 0)
-        e = ends.get(a if re.search(r"[฀-๿]", a) else kind_of(a), 0)
-        if s > 0 and e > 0 or s > 0 and e == 0 and re.search(r"[฀-๿]", b) and re.search(r"[฀-๿]", a):
+        s = starts.get(b if THAI.search(b) else kind_of(b), 0)
+        e = ends.get(a if THAI.search(a) else kind_of(a), 0)
+        if s > 0 and e > 0 or s > 0 and e == 0 and THAI.search(b) and THAI.search(a):
             out.append(x.end())
     return out
 

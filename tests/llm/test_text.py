@@ -196,7 +196,8 @@ def test_units_cover(text):
 
 def test_units_learned(spark, data):
     documents = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
-    model = p8_sentences.learned(documents.where("trim(text) <> ''").selectExpr("text", "'en' as lang"))
+    model, rest = p8_sentences.learned(p8_sentences.model_rows(documents.where("trim(text) <> ''").selectExpr("text", "'en' as lang")))
+    assert rest is None
     m = Model(**model)
     assert m.abbreviation("vs", "en") and not m.abbreviation("done", "en") and m.start("The", "en") > 0 > m.start("the", "en")
     text = "## Summary\n\nDr. Null locks the queue vs. the cache. “Why is it stale?” asked the second reviewer. (It is so by design.) Done. See `a. b` in x.ts.\n\n- Hm... the shard looks idle.\n- OK?\n\n```js\na. b\n```\n問題です。「なぜ二回？」と質問がありました。"
@@ -204,6 +205,21 @@ def test_units_learned(spark, data):
     assert got == ["## Summary", "Dr. Null locks the queue vs. the cache.", "“Why is it stale?” asked the second reviewer.", "(It is so by design.)", "Done.", "See `a. b` in x.ts.", "- Hm... the shard looks idle.", "- OK?", "```js\na. b\n```", "問題です。", "「なぜ二回？」と質問がありました。"]
 
 
+def test_units_with_a_small_broadcast(spark, data, monkeypatch):
+    """Rows of the model that aren't broadcast reach the texts all the same: the units are those of the whole model."""
+    documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    whole = {tuple(r) for r in p8_sentences.sentence_units(documents).collect()}
+    for most in (1, 40):
+        monkeypatch.setattr(p8_sentences, "MODEL_ROWS", most)
+        assert {tuple(r) for r in p8_sentences.sentence_units(documents).collect()} == whole
+
+
+def test_units_of_long_quotations():
+    inner = "It is stale. " * 60
+    text = f"He wrote “{inner.strip()}” and left. Then 'a. b {'x ' * 80}c' was read. Done."
+    assert [text[a:b] for a, b in units(text, EMPTY, "en")] == [f"He wrote “{inner.strip()}” and left.", f"Then 'a. b {'x ' * 80}c' was read.", "Done."]
+
+
 def test_units_cases(spark):
     rows = [(1, None, "en"), (2, " \n", "en"), (3, "One. Two.", None), (4, "One. Two.", "xx")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
