@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import code_language, extension
+from lodestack.llm.common import code_language, extension, spread
 from lodestack.sources.tables import table
 
 EXTENSIONS = ("ts", "js", "py", "go", "dart", "java", "rs", "c")
@@ -96,14 +96,19 @@ def file_syntax(chunks: DataFrame) -> DataFrame:
     return files.select("commit_sha", "file", code_language(ext).alias("language"), "repository", verdict(ext, F.transform("pieces", lambda p: F.struct(p["start_line"].alias("start_line"), p["end_line"].alias("end_line"), p["map"].alias("map")))).alias("status"))
 
 
+def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that ``file_syntax`` reads."""
+    return table(spark, sf_dir, "code_chunks").select("commit_sha", "file", "start_line", "end_line", "content", "ingested_at", "repository")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = file_syntax(table(spark, sf_dir, "code_chunks"))
+    status = file_syntax(spread(source_chunks(spark, sf_dir)))
     return status.where(~F.col("status").isin("valid", "incomplete")).select("commit_sha", "file")
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of files that don't parse, per repository and language; a repository lost in chunks is taken from the commit."""
-    status = file_syntax(table(spark, sf_dir, "code_chunks")).where("status <> 'incomplete'")
+    status = file_syntax(spread(source_chunks(spark, sf_dir))).where("status <> 'incomplete'")
     known = table(spark, sf_dir, "commits").groupBy("commit_sha").agg(F.max("repository").alias("of_commit"))
     bad = F.count_if(F.col("status") != "valid")
     return (

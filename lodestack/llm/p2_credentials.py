@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import FILTER_EACH, FILTER_MOST, cut, extension, filter_bits, filter_of, kept, latest, salted_join
+from lodestack.llm.common import FILTER_EACH, FILTER_MOST, cut, extension, filter_bits, filter_of, kept, latest, salted_join, spread
 from lodestack.sources.tables import table
 
 #: More owners than this share a placeholder, not a credential.
@@ -129,6 +129,7 @@ def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def credentials(chunks: DataFrame, commits: DataFrame) -> DataFrame:
     """chunk_id, line, start, stop, value of every credential: those found by their context and those found again elsewhere."""
+    chunks = spread(chunks)
     found = cut(confirmed(cut(candidate_literals(chunks)), commits))
     again = rescan(chunks, found.select("value").distinct())
     return found.select("chunk_id", "line", "start", "stop", "value").unionByName(again).distinct()

@@ -1,7 +1,7 @@
 """Problem 3: token budget per source and language.
 
-Texts fall into words; the distinct words form prefix tries, one slice a partition, along which the states of the exact pair
-merging are carried (``bpe``), so that a shared prefix is merged once. The counts at the ends of the words are then joined to
+Texts fall into words; the distinct words form prefix tries, one range of the sorted words a partition, however many share a
+prefix, along which the states of the exact pair merging are carried (``bpe``), so that a shared prefix is merged once. The counts at the ends of the words are then joined to
 the texts: the most frequent words (at most ``FREQUENT``, a bound on what is broadcast) without a shuffle, all others by word.
 Texts are keyed by digest, so copies are counted once and weighed by their number.
 
@@ -41,9 +41,8 @@ def word_counts(words: DataFrame, merges: DataFrame) -> DataFrame:
         for b in batches:
             yield b.assign(tokens=list(pieces.counts(b["word"])))
 
-    distinct = words.groupBy("word").agg(F.count("*").alias("times"))
-    spread = F.substring("word", 1, 3), F.crc32(F.substring("word", 1, 12)) % 8  # a hot prefix is cut into eight deeper tries
-    return distinct.repartition(*spread).sortWithinPartitions("word").mapInPandas(slices, "word string, times long, tokens int")
+    distinct = kept(words.groupBy("word").agg(F.count("*").alias("times")))  # range partitioning reads it twice
+    return distinct.repartitionByRange("word").sortWithinPartitions("word").mapInPandas(slices, "word string, times long, tokens int")
 
 
 def token_counts(texts: DataFrame, merges: DataFrame) -> DataFrame:

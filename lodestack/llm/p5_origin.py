@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import cut, extension
+from lodestack.llm.common import cut, extension, spread
 from lodestack.llm.p1_syntax import EXTENSIONS, OVERLAP
 from lodestack.sources.shared import new_path
 from lodestack.sources.tables import table
@@ -282,7 +282,7 @@ def scored(chunks: DataFrame, weights: np.ndarray, intercept: float) -> DataFram
         for contents, paths, starts in batches:
             yield pd.DataFrame([one(*x) for x in zip(contents, paths, starts)], columns=schema.names)
 
-    pieces = chunks.where("content is not null").select("commit_sha", "file", "start_line", parts_of("content", "file", "start_line").alias("s"))
+    pieces = spread(chunks.where("content is not null")).select("commit_sha", "file", "start_line", parts_of("content", "file", "start_line").alias("s"))
     pieces = pieces.groupBy("commit_sha", "file", "start_line").agg(F.max("s").alias("s"))
     share = lambda k: F.coalesce(F.sum(f"s.{k}") / F.nullif(F.sum(f"s.{k}_n"), F.lit(0.0)), F.lit(0.0)) * VIEWS[k]
     sums = pieces.groupBy("commit_sha", "file").agg((share("raw") + share("form") + F.max("s.path") + intercept).alias("masked"), share("head").alias("top"), F.sum(F.col("s.raw_n") + F.col("s.form_n") + F.col("s.head_n")).alias("grams"))

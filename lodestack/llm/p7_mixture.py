@@ -1,8 +1,10 @@
 """Problem 7: mixing sources to target weights.
 
 Source shares are tempered from what there is towards the targets: a source weighs ``share ** (1 - a) * target ** a``, and the
-exponent is bisected to the largest at which no source needs more repetitions than it may have at the given budget. Without a
-budget, the largest one is taken at which the targets themselves can be met. The weights are then realised as block
+exponent is bisected to the largest at which no source needs more repetitions than it may have at the given budget (three
+quarters of all tokens in ``p7_budget_shares``). Without a budget, the largest one is taken at which the targets themselves can be met (``p7_uses``). With a target
+entropy, shares raised to an exponent are the weights, and the exponent is bisected to that entropy (``p7_entropy_shares``: that of
+the targets). The weights are then realised as block
 permutations: each pass over a source is a pseudo-random order of its texts, cut into blocks by the leading bits of a hash; sums
 of blocks tell which are whole within the budget, and only the block at the border is looked into, level by level.
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import kept, source_name
+from lodestack.llm.common import kept, source_name, spread
 from lodestack.sources.tables import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -60,17 +62,30 @@ def by_entropy(shares: dict[str, float], entropy: float) -> float:
     return (low + high) / 2
 
 
-def quotas(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], budget: float | None = None) -> tuple[dict[str, float], float]:
-    """Tokens to take from each source, and the exponent. ``budget``: tokens in all, or as many as the targets allow."""
+#: An entropy as that of the targets.
+TARGETS = "targets"
+
+
+def quotas(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], budget: float | None = None, epochs: float | None = None, entropy: float | str | None = None) -> tuple[dict[str, float], float]:
+    """Tokens to take from each source, and the exponent. ``budget``: tokens in all, or ``epochs`` times those of the sources with a target, or as many as the weights allow; ``entropy``: of the weights, in nats, or ``TARGETS``."""
     live = {s: t for s, t in target.items() if t > 0 and tokens.get(s, 0) > 0 and repeats.get(s, 0) > 0}
     if not live:
         return {}, 1.0
     whole = sum(tokens[s] for s in live)
     shares = {s: tokens[s] / whole for s in live}
     supply = {s: tokens[s] * repeats[s] for s in live}
+    goal = tempered(shares, live, 1.0)
+    budget = whole * epochs if budget is None and epochs is not None else budget
+    if entropy is not None:
+        entropy = -sum(x * math.log(x) for x in goal.values()) if entropy == TARGETS else entropy
+        exponent = by_entropy(shares, min(entropy, math.log(len(shares))))
+        weights = {s: x**exponent for s, x in shares.items()}
+        total = sum(weights.values())
+        most = min(supply[s] * total / w for s, w in weights.items())
+        size = most if budget is None else min(most, budget)
+        return {s: min(w / total * size, supply[s]) for s, w in weights.items()}, exponent
     if budget is None:
-        total = sum(live.values())
-        budget = min(supply[s] / (t / total) for s, t in live.items())
+        budget = min(supply[s] / x for s, x in goal.items())
     fits = lambda a: all(x * budget <= supply[s] * (1 + 1e-9) for s, x in tempered(shares, live, a).items())
     exponent = bisected(fits)
     return {s: min(x * budget, supply[s]) for s, x in tempered(shares, live, exponent).items()}, exponent
@@ -91,7 +106,7 @@ def sized(documents: DataFrame, tokenizer: str) -> DataFrame:
         for s in parts:
             yield pd.Series([len(t.encode(x, add_special_tokens=False).ids) for x in s], dtype="int32")
 
-    rows = documents.where("trim(text) <> ''").select("doc_id", source_name(F.col("source")).alias("source"), F.md5("text").alias("key"), "text")
+    rows = spread(documents.where("trim(text) <> ''").select("doc_id", "source", "text")).select("doc_id", source_name(F.col("source")).alias("source"), F.md5("text").alias("key"), "text")
     return rows.select("doc_id", "source", "key", tokens("text").alias("tokens"))
 
 
@@ -122,14 +137,14 @@ def permuted(texts: DataFrame, remainders: DataFrame) -> DataFrame:
         left = placed.where("upto > rest and upto - size < rest").select("source", *(f"b{i}" for i in range(k + 1)), (F.col("rest") - (F.col("upto") - F.col("size"))).alias("rest"))
 
 
-def mixture(documents: DataFrame, weights: DataFrame, tokenizer: str = TOKENIZER, budget: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, weights: DataFrame, tokenizer: str = TOKENIZER, budget: float | None = None, epochs: float | None = None, entropy: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, uses) of every document, and the shares reached, one row a source of ``weights``."""
     spark = documents.sparkSession
     rows = kept(sized(documents, tokenizer))
     firsts = kept(rows.groupBy("key").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("f")).select("key", "f.*"))
     goals = {r.source: r for r in weights.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").collect()}  # one row a source
     there = {r.source: r.tokens for r in firsts.groupBy("source").agg(F.sum("tokens").alias("tokens")).where(F.col("source").isin(*goals)).collect()}
-    take, exponent = quotas(there, {s: g.target_share for s, g in goals.items()}, {s: g.max_repeats for s, g in goals.items()}, budget)
+    take, exponent = quotas(there, {s: g.target_share for s, g in goals.items()}, {s: g.max_repeats for s, g in goals.items()}, budget, epochs, entropy)
     plan = [(s, int(x // there[s]), float(x % there[s])) for s, x in take.items()]
     passes = spark.createDataFrame(plan, "source string, passes int, rest double")
     extra = permuted(firsts, passes.where("rest > 0").select("source", "rest")).select("key", F.lit(1).alias("more"))
@@ -154,4 +169,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[1]
 
 
-QUERIES = {"p7_uses": p7_uses, "p7_shares": p7_shares}
+def p7_budget_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares at a budget of three quarters of all tokens: sources that may not be repeated often enough bring the exponent below 1."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), epochs=0.75)[1]
+
+
+def p7_entropy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares that are as even as the targets, in the order of the sources' own sizes."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), entropy=TARGETS)[1]
+
+
+QUERIES = {"p7_uses": p7_uses, "p7_shares": p7_shares, "p7_budget_shares": p7_budget_shares, "p7_entropy_shares": p7_entropy_shares}

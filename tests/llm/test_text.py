@@ -168,6 +168,49 @@ def test_quotas():
     assert abs(-sum(v / sum(w) * math.log(v / sum(w)) for v in w) - 1.0) < 1e-6
 
 
+def test_exponents_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(30):
+        names = "abcde"[: rng.randint(2, 5)]
+        tokens = {s: rng.randint(50, 100_000) for s in names}
+        target = {s: rng.random() + 0.01 for s in names}
+        total = sum(target.values())
+        target = {s: t / total for s, t in target.items()}
+        repeats = {s: rng.randint(1, 6) for s in names}
+        take, exponent = p7_mixture.quotas(tokens, target, repeats, epochs=0.75)
+        all_tokens, whole = sum(tokens.values()), 0.75 * sum(tokens.values())
+
+        def weights(a):
+            w = {s: (tokens[s] / all_tokens) ** (1 - a) * target[s] ** a for s in names}
+            return {s: x / sum(w.values()) for s, x in w.items()}
+
+        fits = [k / 2000 for k in range(2001) if all(x * whole <= tokens[s] * repeats[s] * (1 + 1e-9) for s, x in weights(k / 2000).items())]
+        first_break = next((k / 2000 for k in range(2001) if k / 2000 not in set(fits)), 1.0)
+        assert exponent == 1.0 if len(fits) == 2001 else exponent >= first_break - 1e-3
+        assert abs(sum(take.values()) - whole) < 1e-6 * whole and all(take[s] <= tokens[s] * repeats[s] * (1 + 1e-9) for s in names)
+        take, exponent = p7_mixture.quotas(tokens, target, repeats, entropy=p7_mixture.TARGETS)
+        shares = [x / sum(take.values()) for x in take.values()]
+        assert exponent > 63 or abs(-sum(x * math.log(x) for x in shares) + sum(x * math.log(x) for x in target.values())) < 1e-3  # equal sources stay equal
+        assert any(take[s] >= tokens[s] * repeats[s] * (1 - 1e-9) for s in names)
+
+
+def test_mixture_at_a_budget(spark, data):
+    from lodestack.llm.queries import QUERIES
+
+    folder = data.replace("sf0.001", "sf0.01")
+    rows = {r.source: r for r in QUERIES["p7_budget_shares"](spark, folder).collect()}
+    exponent = next(iter(rows.values())).exponent
+    assert 0 < exponent < 1
+    uses = p7_mixture.mixture(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/source_weights.parquet"), epochs=0.75)[0].toPandas()
+    used = (uses.tokens * uses.uses).groupby(uses.source).sum()
+    for s, r in rows.items():
+        assert r.used_tokens == used.get(s, 0) and r.most_uses <= r.max_repeats and abs(r.share_reached - used.get(s, 0) / used.sum()) < 1e-9
+    even = {r.source: r for r in QUERIES["p7_entropy_shares"](spark, folder).collect()}
+    shares = [r.share_reached for r in even.values() if r.share_reached > 0]
+    live = [r.target_share for r in even.values() if r.documents > 0]
+    assert abs(-sum(x * math.log(x) for x in shares) + sum(x / sum(live) * math.log(x / sum(live)) for x in live)) < 0.02
+
+
 def test_mixture(spark):
     docs = [(i, f"text number {i} " * (1 + i % 7), "Big ", i) for i in range(300)] + [(1000 + i, f"small {i}", "small", i) for i in range(20)] + [(2000, "small 3", "small", 0), (2001, None, "small", 0), (2002, "x", None, 0)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, uses int")
