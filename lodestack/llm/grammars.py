@@ -14,18 +14,23 @@ from lodestack.llm.lexers import INDENT
 
 OPERAND = "[i0sPB]"
 #: Fixed for all brace languages: characters, strings and markers that are never tokens; operators without their right side.
-ALWAYS = [r"[MXU]|@@", r"[o=.|A]n*[)\]}]", r"(?<!\.)[up]n*[)\]};]", r"[o=.|]n*[;,]", r"=n*[o.:?]", r"\.n*[.0s]", r",n*;", r"[(\[]n*[o=]", r"on*o", r"[0s]n?[.]?0", r"o$|=$|\.$"]
+ALWAYS = [r"[MXU]|@@", r"[o=.|A]n*[)\]}]", r"(?<!\.)[up]n*[)\]};]", r"[o=.|]n*[;,]", r"=n*[o.:?]", r"\.n*[.0s]", r",n*;", r"[(\[]n*[o=]", r"on*o", r"=n*=", r"[0s]n?[.]?0", r"o$|=$|\.$"]
 #: Statements of languages whose line ends don't count.
 SEMICOLON = [r";[^{};]+(?<![C;])\}", r"r[^;{}C]*\}", r"(?:=|=k)i(?:\.i)*[PB]*i", r"r[i0s]i", r"0i|i0|0 0|si|0s", r"(?<![@.])iP[i0]", r"I[^(P]"]
+#: What no statement of scripts holds: declarations without a name, two returns, functions that are statements without a name, headers of
+#: loops with more than three parts, conditions without anything.
+STATEMENTS = [r"(?:^n*|;n*|\)\{n*)V[=;o.)]", r"(?<!\.)rr", r"(?:^n*|;n*)k?FP", r"(?<!\.)I\([^()\[\]{}]*(?:;[^()\[\]{}]*){3,}\)", r"(?:^n*|;n*|[)C]n+)I\(n*\)"]
+#: Members of interfaces, and types, of which something is missing.
+TYPES = [r"ai[^{}()\[\];=]*\{[^{}]*:n*;", r"(?:^n*|;n*|n)k?ai?n*[;=]", r"(?:^n*|;n*)[LV]i:n*[;=]"]
 RULES = {
-    "js": [*ALWAYS, r"[i0s][i0s]", r"i0", r"B[i0s]", r"(?<!\.)I(?=[i0s{};)\]no=C])", r"F(?=[0s{}C;).=])", r"Fu?[ik][^(lPn]", r"FF", r"Fu?[ik]P[^{C:;n)]", r"L[ik](?=[i0s(P{Cou])", r"L(?=[^ik{CB\[nu.:,)}=(?;P])", r"c[ik]P", r"Ni(?=n|;|$|\.i)", r"iP[i0s]", r"=n*[Lr;}]", r"An*[;)]", r"[AFLI]n*$", r"^n*\{n*s:", r"^n*\{n*\}?n*s?:", r"pn*[;)}]?$", r"rn*[)\]]", r"^n*[?),:]", r";n*[?,:]", r"\?n*[;\]}]", r"[,;({\[]n*\.i"],
-    "go": [*ALWAYS[:2], r"[o=]n*[;,)]", r"=n*[o.:]", r"iii", r"[0s]i", r"0s|s0", r"i0", r"ip", r"(?:^|n|;)n*[o=,:?]", r"(?<=[}C])n+e", r"e(?![{Ck])", r"F(?=[^i(P])", r"Fi[^(PB\[]", r"oo", r"[?@#A]", r"[^n;]G", r"oA|Rk", r"K(?=[0s{C])", r"=n*[;rK]"],
+    "js": [*ALWAYS, r"[i0s][i0s]", r"i0", r"B[i0s]", r"(?<!\.)I(?=[i0s{};)\]no=C])", r"F(?=[0s{}C;).=])", r"Fu?[ik][^(lPn]", r"FF", r"Fu?[ik]P[^{C:;n)]", r"[LV][ik](?=[i0s(P{Cou])", r"[LV](?=[^ik{CB\[nu.:,)}=(?;P])", r"c[ik]P", r"Ni(?=n|;|$|\.i)", r"iP[i0s]", r"=n*[LVr;}]", r"An*[;)]", r"[AFLVI]n*$", r"^n*\{n*s:", r"^n*\{n*\}?n*s?:", r"pn*[;)}]?$", r"rn*[)\]]", r"^n*[?),:]", r";n*[?,:]", r"\?n*[;\]}]", r"[,;({\[]n*\.i", *STATEMENTS],
+    "go": [*ALWAYS[:2], r"[o=]n*[;,)]", r"=n*[o.:=]", r"iii", r"[0s]i", r"0s|s0", r"i0", r"ip", r"(?:^|n|;)n*[o=,:?]", r"(?<=[}C])n+e", r"e(?![{Ck])", r"F(?=[^i(P])", r"Fi[^(PB\[]", r"oo", r"[?@#A]", r"[^n;]G", r"oA|Rk", r"K(?=[0s{C])", r"=n*[;rK]"],
     "java": [*ALWAYS, *SEMICOLON, r"iii", r"ip", r"#", r"c[ik]P(?![C{ki])", r"[^i]c[^ik]", r"F", r"in?:i?[^,;]*$", r"ss", r"r[^;C{}]*r", r"k?i:i?=", r"A"],
     "dart": [*ALWAYS[:1], r"[o=.]n*[)\]}]", r"(?<!\.)[up][)\]};]", r"[o=.][;,]", *SEMICOLON[:2], *SEMICOLON[2:], r"iii", r"ip", r"ci?P", r"c[ik]P:", r"iiP:", r"^[Ck]*s", r"R", r"#[^iok=u]"],
     "c": [r"[MX]", r"U", r"[o=.|][)\]}]", r"(?<!\.)[up][)\]};]", r"[o=.|][;,]", *SEMICOLON[:2], r"=i(?:\.i)*[PB]*i", r"r[i0]i", r"0i|i0|00", r"(?<![k.])iP[i0](?!.*C$)", r"I[^(P]", r"iiii", r"(?<!k)i:i", r"ip", r"A|[@#]", r"(?:^|;)h*i[{C]", r"s;s|^h*s", r"kikiki"],
     "rs": [*ALWAYS[:1], r"[o=.]n*[)\]}]", r"[up]\]|[o=.][;]", r"=[;o]", r"[i0s][i0s]", r"P[i0]", r"B[i0s](?!$)", r"ki[i0]", r"L[^ik(P\[BCu{0s|g]", r"L[^;{}C]*L", r"[^Kk]i:i?;"],
 }
-RULES["ts"] = [*RULES["js"]]
+RULES["ts"] = [*RULES["js"], *TYPES]
 RULES = {k: re.compile("|".join(f"(?:{x})" for x in v)).search for k, v in RULES.items()}
 
 #: The outline of a file once every bracket has shrunk.

@@ -16,9 +16,9 @@ CODE = "c"
 #: i name, 0 number, s string, t template, U string not closed, X no token of the language, M merge marker,
 #: o binary operator, u operator that may also be a prefix, p prefix only, q ++ and --, = assignment, l < , g >, | bar,
 #: A fat arrow, R thin arrow, E spread, T range, D ::, n line end (in Python followed by the width of the indent),
-#: I keyword that needs a bracket, F function, L let, c class, N import, G package, r return, e else, K item keyword,
+#: I keyword that needs a bracket, F function, L let, V const and var, a interface, c class, N import, G package, r return, e else, K item keyword,
 #: k any other keyword, b compound keyword of Python (y try, x its handlers, m match, d case), h soft keyword or directive, ( [ { and their closers as they are.
-CLASSES = "i0stUXMoupq=lg|ARETDnIFLcNGJreKkbyxmdh"
+CLASSES = "i0stUXMoupq=lg|ARETDnIFLVacNGJreKkbyxmdh"
 
 INDENT = 0x4E00  # a line's indent of w columns is the character INDENT + w
 
@@ -122,8 +122,59 @@ class Lexer:
         return maps
 
 
+#: The state of a piece that ends inside an expression of a template: only the whole file tells what follows.
+DEEP = "?"
+TEXT_PARTS = re.compile(r"\\[\s\S]|`|\$\{")
+CODE_PARTS = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|[`{}]")
+
+
+def template_end(text: str, at: int) -> tuple[int | None, str]:
+    """Where a template whose text goes on at ``at`` ends, with templates and braces inside it nested to any depth; else None and the state at the end of the text."""
+    stack = ["`"]
+    while stack:
+        m = (TEXT_PARTS if stack[-1] == "`" else CODE_PARTS).search(text, at)
+        if not m:
+            return None, "T" if len(stack) == 1 else DEEP
+        at, x = m.end(), m[0]
+        if x == "`":
+            if stack[-1] == "`":
+                stack.pop()
+            else:
+                stack.append("`")
+        elif x in ("${", "{"):
+            stack.append("{")
+        elif x == "}":
+            stack.pop()
+    return at, ""
+
+
 class Script(Lexer):
-    """With regular expressions, which only the token before tells from divisions; the two are cut as one token."""
+    """With regular expressions, which only the token before tells from divisions (the two are cut as one token), and with templates, which nest."""
+
+    def classes(self, text: str) -> tuple[str, str]:
+        out, whole = [], re.compile("`" + TEMPLATE).fullmatch
+        while True:
+            last = self.cut(text)[-1:]
+            if not last or last[0][0] != "`" or whole(last[0]):
+                end, kinds = super().classes(text)
+                return end, "".join(out) + kinds
+            at = len(text) - len(last[0])
+            end, state = template_end(text, at + 1)
+            out.append(super().classes(text[:at])[1] + "t")
+            if end is None:
+                return state, "".join(out)
+            text = text[end:]
+
+    def map(self, text: str, first: bool) -> dict[str, tuple[str, str]]:
+        maps = super().map(text, first)
+        if not first:
+            end, state = template_end(text, 0)
+            maps.pop("T", None)
+            if end is not None:
+                maps["T"] = self.classes(text[end:])
+            elif state != "T":
+                maps["T"] = state, ""
+        return maps
 
     def special(self, x: str) -> str:
         if x[0] not in "\"'`/#" and "/" in x[1:] and (m := re.match(r"(\n[ \t]*|[a-z]+|\W{1,3}?)[ \t]*/(?![/*=])", x)):
@@ -136,8 +187,8 @@ REGEX = r"(?:&&|\|\||\?\?|=>|===?|!==?|[(,=:\[!&|?{};+*%^~]|\b(?:return|typeof|c
 TEMPLATE = r"(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`(?:[^`\\]|\\[\s\S])*`)*\})*`"
 C_COMMENT = {"C": (r"/\*(?!.*\*/)", r".*?\*/", "")}
 JS_WORDS = {
-    **words("if while switch for with", "I"), **words("function", "F"), **words("let const var", "L"), **words("class", "c"), **words("import", "N"), **words("return throw", "r"), **words("else", "e"),
-    **words("async await of as from get set static public private protected readonly abstract declare type namespace module interface enum extends implements is keyof infer unique asserts satisfies override accessor export default case break continue do try catch finally new delete typeof instanceof in void yield global require out using debugger", "k"),
+    **words("if while switch for with", "I"), **words("function", "F"), **words("let", "L"), **words("const var", "V"), **words("interface", "a"), **words("class", "c"), **words("import", "N"), **words("return throw", "r"), **words("else", "e"),
+    **words("async await of as from get set static public private protected readonly abstract declare type namespace module enum extends implements is keyof infer unique asserts satisfies override accessor export default case break continue do try catch finally new delete typeof instanceof in void yield global require out using debugger", "k"),
 }
 JS_OPS = "/ % && || == != <= >= === !== ?? << >>> ** ^ += -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??= + - * & = ( ) [ ] { } , ; : ? @ | ! ~ ++ -- < > . ?. ... =>"
 SCRIPT = dict(
