@@ -25,6 +25,8 @@ from lodestack.sources.tables import table
 EXTENSIONS = ("ts", "js", "py", "go", "dart", "java", "rs", "c")
 #: Lines that neighbouring chunks of a file share as a rule; lines of a block, whose maps are composed first.
 OVERLAP, BLOCK = 5, 4_500
+#: File versions up to which the list of those that maps can't tell is broadcast.
+BROADCAST_ROWS = 200_000
 ENTRY, FIELD = "\x1e", "\x1f"
 
 
@@ -149,7 +151,9 @@ def file_syntax(chunks: DataFrame) -> DataFrame:
     spans = blocks.select(*version, "repository", block_map("pieces").alias("b"))
     files = spans.groupBy(*version).agg(ordered(["b.start_line", "b.end_line", "b.map", "b.status"]).alias("blocks"), F.max("repository").alias("repository"))
     told = cut(files.select(*version, "repository", verdict(ext, "blocks").alias("status")))
-    texts = source.where("content is not null").select(*version, start.alias("start_line"), "ingested_at", "content").join(told.where("status = 'again'").select(*version), version, "left_semi")
+    few = told.where("status = 'again'").select(*version)
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    texts = source.where("content is not null").select(*version, start.alias("start_line"), "ingested_at", "content").join(few, version, "left_semi")
     latest = texts.groupBy(*version, "start_line").agg(F.max_by("content", F.struct("ingested_at", "content")).alias("content"))
     again = latest.groupBy(*version).agg(ordered(["start_line", "content"]).alias("chunks")).select(*version, whole_verdict(ext, "chunks").alias("whole"))
     joined = told.join(again, version, "left").withColumn("status", F.coalesce("whole", "status"))
