@@ -170,18 +170,28 @@ def gram_hashes(text: str, size: int) -> np.ndarray:
 
 
 def anchor(value: str) -> int:
-    """The hash of the gram of a value with the most different characters, digits before letters, and without blanks if there is one. Every working value has ``SHORT`` characters."""
+    """The hash of the gram of a value that is least like other text: without blanks if there is one, with the most digits and changes
+    between letters, capitals, digits and marks, and the most different characters. Every working value has ``SHORT`` characters."""
     size = GRAM if len(value) >= GRAM else SHORT
-    best = max(range(len(value) - size + 1), key=lambda i: (not any(c.isspace() for c in value[i : i + size]), len(set(value[i : i + size])), sum(c.isdigit() for c in value[i : i + size]), -i))
+    kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else " " if c.isspace() else "." for c in value]
+    odd = [(k == "0") + (a != k) for a, k in zip(["a", *kinds], kinds)]
+
+    def rank(i: int) -> tuple:
+        return " " not in kinds[i : i + size], sum(odd[i : i + size]), len(set(value[i : i + size])), i
+
+    best = max(range(len(value) - size + 1), key=rank)
     return int(gram_hashes(value[best : best + size], size).astype(np.int64)[0])
 
 
-def probable(text: str, table: np.ndarray, bits: int) -> list[int]:
-    """The hashes of grams of a text that the filter knows, as signed numbers."""
+def probable(texts: list[str], table: np.ndarray, bits: int) -> list[list[int]]:
+    """For each text the hashes of its grams that the filter knows, as signed numbers; texts are tested together."""
     from lodestack.llm.common import in_filter
 
-    out: list[int] = []
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    whole, out = "\0".join(texts), [set() for _ in texts]
     for size in (GRAM, SHORT):
-        h = gram_hashes(text, size)
-        out.extend(np.unique(h[in_filter(h, table, bits)]).astype(np.int64).tolist())
-    return out
+        h = gram_hashes(whole, size)
+        at = in_filter(h, table, bits)
+        for row, x in zip(np.searchsorted(ends, at, side="right").tolist(), h[at].astype(np.int64).tolist()):
+            out[row].add(x)
+    return [sorted(x) for x in out]

@@ -29,6 +29,8 @@ from lodestack.sources.tables import table
 
 #: More owners than this share a placeholder, not a credential.
 MAX_OWNERS = 3
+#: Characters of texts that are tested together.
+TOGETHER = 1 << 19
 #: Rows up to which the table of grams is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -94,7 +96,13 @@ def _pass(chunks: DataFrame, anchors: DataFrame, n: int, small: bool) -> DataFra
 
         table = held.value
         for b in batches:
-            grams = [probable(t, table, bits) for t in b["content"]]
+            grams, part, size = [], [], 0
+            for t in b["content"]:
+                if size > TOGETHER:
+                    grams, part, size = grams + probable(part, table, bits), [], 0
+                part.append(t)
+                size += len(t)
+            grams += probable(part, table, bits)
             if any(grams):
                 yield b[np.array([len(g) > 0 for g in grams])].assign(grams=[g for g in grams if g])
 
