@@ -77,12 +77,15 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
 
 
-CONTROL, FUNCTIONS, OPERATORS, BRACKETS = r"\b(?:if|else|for|while|switch|case|catch|try)\b", r"\b(?:function|def|func|fn|class)\b", r"[+\-*/%=<>!&|]+", r"[{}()\[\]]"
+#: What the complexity of a text in any language counts.
+CONTROL = r"\b(?:if|for|while|do|switch|try|catch|else|elif)\b"
+FUNCTIONS = r"\bfunction\b|\b=>\b|\bdef\b|\bclass\b|\binterface\b"
+OPERATORS, OPENERS = r"[+\-*/%=<>&^|!~?]+", r"[{\[(]"
 
 
 def complexity(text: Column) -> Column:
-    """2 a branch, 3 a function, a third an operator run, half a bracket; at least 1."""
-    total = 2 * matches(text, CONTROL) + 3 * matches(text, FUNCTIONS) + F.floor(matches(text, OPERATORS) / 3) + F.floor(matches(text, BRACKETS) / 2)
+    """2 a branch, 3 a function, a third a run of operators, half an opening bracket, both rounded down; at least 1."""
+    total = 2 * matches(text, CONTROL) + 3 * matches(text, FUNCTIONS) + F.floor(matches(text, OPERATORS) / 3) + F.floor(matches(text, OPENERS) / 2)
     return F.greatest(total, F.lit(1)).cast("long")
 
 

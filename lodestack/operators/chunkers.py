@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def line_windows(files: DataFrame, key: str, text: str, size: int = 50, overlap: int = 5) -> DataFrame:
@@ -76,3 +81,89 @@ def flags(text: Column) -> list[Column]:
     return [
         t.rlike(r"(?m)^\s*(?://|#|/\*|\*)").alias("has_comments"), t.rlike(r"\b(?:function|def|func|fn)\b|=>").alias("has_functions"), t.rlike(r"\b(?:class|interface|struct|enum|trait)\b").alias("has_classes"), F.size(F.split(t, "\n")).alias("line_count"),
     ]
+
+
+#: Lines of column 0 that a chunk begins with, by language: kind and pattern; group 1 is the name. The first that fits counts.
+BRACE_HEADS = {
+    "go": [("function", r"^func\s+([^(]+)\("), ("method", r"^func\s*\([^)]+\)\s+([^(]+)\(")],
+    "rust": [("function", r"^fn\s+([^(]+)\("), ("class", r"^impl\s+([^{]+)\s*\{")],
+}
+
+
+def brace_chunks(lines: DataFrame, keys: list[str], language: str) -> DataFrame:
+    """keys, kind, name, start_line, end_line: functions, methods and implementations of the files that ``keys`` name, out of their ``lines`` (keys, pos from 0, line).
+
+    A chunk ends at the first line with a closing brace at which as many lines with opening as with closing braces have passed since
+    its head; if there is none, at its head. A file without any is one chunk of kind ``file``. One pass: levels are a running sum over
+    a file, and the end of a head is the next closing line of its level.
+    """
+    line = F.coalesce("line", F.lit(""))
+    opens, closes = F.contains(line, F.lit("{")).cast("int"), F.contains(line, F.lit("}")).cast("int")
+    kind = F.coalesce(*[F.when(line.rlike(p), F.lit(k)) for k, p in BRACE_HEADS[language]])
+    name = F.coalesce(*[F.when(line.rlike(p), F.trim(F.regexp_extract(line, p, 1))) for _, p in BRACE_HEADS[language]])
+    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.select(*keys, "pos", opens.alias("_o"), closes.alias("_c"), kind.alias("kind"), name.alias("name"))
+    marked = marked.withColumn("_level", F.sum(F.col("_o") - F.col("_c")).over(upto)).withColumn("_n", F.max("pos").over(Window.partitionBy(*keys)) + 1).withColumn("_any", F.max("kind").over(Window.partitionBy(*keys)))
+    heads = marked.where("kind is not null").select(*keys, "pos", "kind", "name", (F.col("_level") - F.col("_o") + F.col("_c")).alias("_level"), F.lit(None).cast("int").alias("_end"))
+    ends = marked.where("_c = 1").select(*keys, "pos", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"), "_level", F.col("pos").alias("_end"))
+    later = Window.partitionBy(*keys, "_level").orderBy(F.desc("pos"), F.col("kind").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = heads.unionByName(ends).withColumn("_end", F.last("_end", ignorenulls=True).over(later)).where("kind is not null")
+    chunks = found.select(*keys, "kind", "name", (F.col("pos") + 1).alias("start_line"), (F.coalesce("_end", "pos") + 1).alias("end_line"))
+    whole = marked.where("_any is null and pos = 0").select(*keys, F.lit("file").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(1).alias("start_line"), F.col("_n").alias("end_line"))
+    return chunks.unionByName(whole)
+
+
+#: Trimmed lines of Dart after which a window may end.
+GOOD_END = r"^$|^\}$|^\}\);$|^\}\)$|^(?:import|export) |^(?:const|var|final|late)\s+\w+[^=]*$|^(?:class|abstract class|enum|typedef)\s+\w+|^(?:Future<.*>|void|bool|String|int|double|dynamic)\s+\w+\s*\("
+
+
+def seeking_windows(lines: DataFrame, keys: list[str], size: int = 80, overlap: int = 3) -> DataFrame:
+    """keys, start_line, end_line: windows of at most ``size`` lines that end at a good boundary where there is one, out of ``lines`` (keys, pos from 0, line).
+
+    A window ends after the last line of it that is a good boundary; without any, before the last line that is no good cut; else at
+    its full size. The next begins ``overlap`` lines before that end. Windows of blank lines are left out. Where a window ends is worked
+    out for every line by windows of rows; only the walk from end to end is a loop, over one file's numbers.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be less than size")
+    text = F.trim(F.regexp_replace(F.coalesce("line", F.lit("")), r"\s+$|^\s+", ""))
+    good, bad, blank = text.rlike(GOOD_END), bad_cut(text), text == ""
+    flag = F.when(good, 1).otherwise(0) + F.when(bad, 2).otherwise(0) + F.when(blank, 4).otherwise(0)
+    files = lines.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", flag.cast("int").alias("f")))), lambda x: x["f"]).alias("flags"))
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*(getattr(r, k) for k in keys), a + 1, e) for r in b.itertuples(index=False) for a, e in walk(np.asarray(r.flags), size, overlap)]
+            yield pd.DataFrame(rows, columns=[*keys, "start_line", "end_line"])
+
+    schema = T.StructType([*(f for f in files.schema.fields if f.name in keys), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
+    return files.mapInPandas(walked, schema)
+
+
+def bad_cut(text: Column) -> Column:
+    """A line that shouldn't be the last of a window: a call or condition that goes on, an operator of null or logic, an open long string."""
+    has = lambda x: F.contains(text, F.lit(x))
+    quotes = (has('"""') | has("'''")) & ~text.endswith('"""') & ~text.endswith("'''")
+    return has("(") & ~has(")") & ~has(";") | has("?.") | has("??") | has("&&") | has("||") | quotes | text.rlike(r"\b(?:if|for|while|do)\s*\([^)]*$") & ~has("{")
+
+
+def walk(flags: np.ndarray, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, end) from 0 of a file's windows; flags: 1 a good boundary, 2 a bad cut, 4 a blank line."""
+    n, at, first = len(flags), 0, True
+    good, bad = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
+    while at < n:
+        start = at if first else max(0, at - overlap)
+        end = min(n, start + size)
+        last = np.searchsorted(good, end) - 1
+        cut = np.searchsorted(bad, end) - 1
+        if last >= 0 and good[last] >= start:
+            stop = int(good[last]) + 1
+        elif cut >= 0 and bad[cut] >= start:
+            stop = int(bad[cut])
+        else:
+            stop = end
+        stop = end if stop <= start else stop
+        if not (flags[start:stop] & 4).all():
+            yield start, stop
+            first = False
+        at = stop if stop > at else at + 1  # a window that ends in its own overlap goes on by a line

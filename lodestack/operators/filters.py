@@ -81,13 +81,3 @@ def lint(spec: dict) -> list[str]:
         if spec.get(low) is not None and spec.get(high) is not None and spec[low] > spec[high]:
             out.append(f"{low} is beyond {high}")
     return out
-
-
-#: Points that each kind of clause adds to the estimate of how selective a filter is.
-POINTS = {"files": 10, "file_patterns": 5, "languages": 20, "commit": 15, "commit_range": 15, "created_after": 25, "created_before": 25}
-
-
-def selectivity(spec: dict) -> tuple[int, str]:
-    """(points, few, moderate or many rows); a hint for people, as Catalyst plans from statistics."""
-    points = sum(POINTS.get(k, 5) * (len(v) if k in ("files", "file_patterns") else 1) for k, v in spec.items() if v)
-    return points, "few" if points <= 20 else "moderate" if points <= 50 else "many"

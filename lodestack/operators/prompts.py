@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import tokens
+from lodestack.functions.text import tokens, truncated
 
 #: Shares of a budget; what they leave or exceed is taken from the context.
 SHARES = {"preamble": 0.1, "context": 0.5, "diffs": 0.3, "insights": 0.1, "instructions": 0.1}
@@ -40,3 +40,38 @@ def context_by_file(chunks: DataFrame, group: list[str], lines: int = 10) -> Dat
     entry = F.concat(F.upper(F.coalesce("chunk_type", F.lit("unknown"))), F.lit(" ("), F.col("start_line"), F.lit("-"), F.col("end_line"), F.lit(")\n"), head)
     rows = chunks.where("content is not null and file is not null").groupBy(*group, "file").agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "id", entry.alias("entry")))).alias("e"))
     return rows.select(*group, "file", F.array_join(F.transform("e", lambda x: x["entry"]), "\n\n").alias("section"))
+
+
+#: Kinds of chunks, the most telling first.
+KIND_PRIORITY = {"function": 5, "class": 4, "method": 3, "module": 2, "block": 1}
+
+
+def prioritised(chunks: DataFrame, group: list[str], kind: str, score: str, *ties: str) -> DataFrame:
+    """place: chunks of a group by their kind, then by score, then by ``ties``; unknown kinds come last."""
+    priority = F.lit(0)
+    for k, v in KIND_PRIORITY.items():
+        priority = F.when(F.col(kind) == k, v).otherwise(priority)
+    return chunks.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(priority), F.desc_nulls_last(score), *ties)))
+
+
+def assembled(sections: list[Column]) -> Column:
+    """Sections that aren't blank, a blank line between them."""
+    return F.array_join(F.filter(F.array(*sections), lambda x: F.trim(x) != ""), "\n\n")
+
+
+def composed(sections: DataFrame, names: list[str], budget: int, notice: str) -> DataFrame:
+    """text, token_count, budget_used, budget_remaining, truncated: the prompt of each row's sections, cut to the budget where it is longer; null sections count as blank."""
+    whole = assembled([F.coalesce(n, F.lit("")) for n in names])
+    used = tokens(F.col("_whole"))
+    out = sections.withColumn("_whole", whole).withColumn("budget_used", used).withColumn("truncated", used > budget)
+    out = out.withColumn("text", truncated(F.col("_whole"), F.lit(budget), notice)).withColumn("budget_remaining", F.lit(budget) - F.col("budget_used"))
+    return out.withColumn("token_count", tokens(F.col("text"))).drop("_whole")
+
+
+def preview(sections: DataFrame, names: list[str], budget: int) -> DataFrame:
+    """Tokens of each section (name_tokens), estimated, utilisation in percent, warning: above the budget, above four fifths of it, or null."""
+    out = sections
+    for n in names:
+        out = out.withColumn(f"{n}_tokens", tokens(F.col(n)))
+    out = out.withColumn("estimated", sum((F.col(f"{n}_tokens") for n in names), F.lit(0))).withColumn("utilisation", F.col("estimated") / budget * 100)
+    return out.withColumn("warning", F.when(F.col("utilisation") > 100, "over budget").when(F.col("utilisation") > 80, "high utilisation"))

@@ -1,11 +1,8 @@
-"""Collections as versioned Parquet: a change writes a new version beside the old one and then points to it."""
+"""Collections as logs of changes: what a key is now is its last change, so writers only ever add rows."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,57 +20,3 @@ def replayed(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
 def merged(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Stored rows whose key isn't among the changes, and the changes."""
     return stored.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
-
-
-class Collection:
-    """A named collection under a folder. Readers see whole versions; an interrupted change leaves the old one in place."""
-
-    def __init__(self, spark: SparkSession, folder: str, name: str, key: str = "id"):
-        self.spark, self.path, self.key = spark, f"{folder.rstrip('/')}/{name}", key
-        jvm = spark.sparkContext._jvm
-        self.Path = jvm.org.apache.hadoop.fs.Path
-        self.files = self.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointer(self):
-        return self.Path(f"{self.path}/CURRENT.json")
-
-    def version(self) -> str | None:
-        if not self.files.exists(self._pointer()):
-            return None
-        return json.loads(self.spark.read.text(str(self._pointer().toString())).head().value)["version"]
-
-    def exists(self) -> bool:
-        return self.version() is not None
-
-    def read(self) -> DataFrame:
-        version = self.version()
-        if version is None:
-            raise LookupError(f"no collection at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{version}")
-
-    def write(self, rows: DataFrame) -> str:
-        """A new version of the rows; the pointer is replaced by a rename once all files are there."""
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        new = self.Path(f"{self.path}/NEXT-{version}.json")
-        out = self.files.create(new, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        if self.files.exists(self._pointer()):
-            self.files.delete(self._pointer(), False)
-        self.files.rename(new, self._pointer())
-        return version
-
-    def upsert(self, rows: DataFrame, order: list[str]) -> None:
-        changes = newest(rows, self.key, order)
-        self.write(merged(self.read(), changes, self.key) if self.exists() else changes)
-
-    def delete(self, keys: DataFrame) -> None:
-        self.write(self.read().join(keys.select(self.key), self.key, "left_anti"))
-
-    def delete_where(self, condition) -> None:
-        """Rows for which the condition is null stay."""
-        self.write(self.read().where(~F.coalesce(condition, F.lit(False))))
-
-    def drop(self) -> None:
-        self.files.delete(self.Path(self.path), True)

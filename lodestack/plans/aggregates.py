@@ -23,8 +23,10 @@ def query(sql: str | None = None):
 
 
 def insights(spark, d):
-    """Repeated deliveries of an insight count once."""
-    return table(spark, d, "review_insights").dropDuplicates(["id"])
+    """Repeated deliveries of an insight count once, the earliest; at the same time the one whose columns come first."""
+    x = table(spark, d, "review_insights")
+    rest = [c for c in x.columns if c != "id"]
+    return x.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("created_at", *[c for c in rest if c != "created_at"])).alias("_")).select("id", "_.*")
 
 
 INSIGHTS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at) AS rn FROM review_insights) WHERE rn = 1)"

@@ -122,7 +122,11 @@ def _count(p: str) -> str:
     return f"len(regexp_extract_all(coalesce(content, ''), '{p}'))"
 
 
-@query(f"""SELECT id, CAST(greatest(2 * {_count(X.CONTROL)} + 3 * {_count(X.FUNCTIONS)} + floor({_count(X.OPERATORS)} / 3.0) + floor({_count(X.BRACKETS)} / 2.0), 1) AS BIGINT) AS score FROM code_chunks""")
+@query(
+    r"""WITH t AS (SELECT id, coalesce(content, '') AS c FROM code_chunks)
+SELECT id, CAST(greatest(2 * len(regexp_extract_all(c, '\b(if|for|while|do|switch|try|catch|else|elif)\b')) + 3 * len(regexp_extract_all(c, '\bfunction\b|\b=>\b|\bdef\b|\bclass\b|\binterface\b'))
+  + floor(len(regexp_extract_all(c, '[-+*/%=<>&^|!~?]+')) / 3.0) + floor(len(regexp_extract_all(c, '[{(\[]')) / 2.0), 1) AS BIGINT) AS score FROM t"""
+)
 def regex_complexity(spark, d):
     return chunks(spark, d).select("id", X.complexity(F.col("content")).alias("score"))
 

@@ -167,7 +167,7 @@ def unified_diff_lines(spark, d):
 
 @query()
 def answer_findings(spark, d):
-    answers = table(spark, d, "cloud_responses").select("id", "raw_response").where("raw_response is not null").dropDuplicates(["id"])
+    answers = table(spark, d, "cloud_responses").select("id", "raw_response").where("raw_response is not null").groupBy("id").agg(F.max("raw_response").alias("raw_response"))
     return A.findings(A.parsed(answers, "id", "raw_response"), "id").groupBy("id", "severity").agg(F.count("*").alias("findings"))
 
 
@@ -203,13 +203,13 @@ def delete_by_file(spark, d):
 
 @query("""SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark, d):
-    out = W.drained(W.tumbling(W.event_stream(spark, f"{d}/events.parquet"), "1 hour"), "complete")
+    out = W.drained(W.tumbling(W.event_stream(spark, f"{d}/events.parquet"), "1 hour"), "update", ["start", "event_type"])
     return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("v", 4).alias("v"))
 
 
 @query("""SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([CAST(floor(epoch(ts) / 1800) AS BIGINT) * 1800, CAST(floor(epoch(ts) / 1800) AS BIGINT) * 1800 - 1800]) AS s FROM events) GROUP BY 1, 2""")
 def stream_sliding(spark, d):
-    out = W.drained(W.sliding(W.event_stream(spark, f"{d}/events.parquet"), "1 hour", "30 minutes"), "complete")
+    out = W.drained(W.sliding(W.event_stream(spark, f"{d}/events.parquet"), "1 hour", "30 minutes"), "update", ["start", "event_type"])
     return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
 
 

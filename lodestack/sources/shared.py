@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import tempfile
 import uuid
 
@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names; one of our own only where it names none, as in tests."""
+    """The folder that the session names. One of our own only where it names none and all runs on this machine; a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lodestack-checkpoints"))
+        if not folder and not re.fullmatch(r"local(?:\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return (folder or sc.getCheckpointDir()).rstrip("/")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators.store import Collection
+from lodestack.operators.store import newest
 from lodestack.sources.shared import new_path
 
 
@@ -21,17 +21,21 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives once it has taken all there is; each batch replaces (complete) or extends (append) a table."""
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives once it has taken all there is. Batches add to a table (append), bring the new state of some ``keys`` (update: the last batch of a key counts) or all of it (complete)."""
     spark = stream.sparkSession
     out, checkpoint = new_path(spark, "stream"), new_path(spark, "progress")
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{0 if mode == 'complete' else number}")  # a repeated batch writes the same place
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")  # a repeated batch writes the same place
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/*")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(out)
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_")).select(*keys, "_.*")
+    return rows.select(*stream.columns)
 
 
 def tumbling(events: DataFrame, size: str, late: str = "1 hour") -> DataFrame:
@@ -53,16 +57,9 @@ def distinct_events(events: DataFrame, keys: list[str], late: str = "40 days") -
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def merge_changes(changes: DataFrame, collection: Collection, order: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """A streaming query that merges each batch of changes (op: upsert or delete) into a collection; repeating a batch changes nothing."""
-    from lodestack.operators.store import newest
+def logged_changes(changes: DataFrame, path: str, key: str, order: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df):
+    """A streaming query that adds each batch's last change of every key (op: upsert or delete) to a log at ``path``, one folder a batch, and nothing else; repeating a batch writes the same folder. ``store.replayed`` over the log gives the collection."""
+    def add(batch: DataFrame, number: int) -> None:
+        derive(newest(batch, key, order)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    def merge(batch: DataFrame, _: int) -> None:
-        last = newest(batch, collection.key, order)
-        if collection.exists():
-            base = collection.read().join(last.select(collection.key), collection.key, "left_anti")
-            collection.write(base.unionByName(derive(last.where("op <> 'delete'")).drop("op"), allowMissingColumns=True))
-        else:
-            collection.write(derive(last.where("op <> 'delete'")).drop("op"))
-
-    return changes.writeStream.option("checkpointLocation", new_path(changes.sparkSession, "progress")).trigger(availableNow=True).foreachBatch(merge).start()
+    return changes.writeStream.option("checkpointLocation", new_path(changes.sparkSession, "progress")).trigger(availableNow=True).foreachBatch(add).start()

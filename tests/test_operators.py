@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.functions import vectors
 from lodestack.operators import answers, chunkers, diffs, joins, prompts, store
 from lodestack.plans import retrieval
 from lodestack.streaming import windows
@@ -102,24 +104,126 @@ def test_budgets(spark):
     assert prompts.within_budget(df, ["g"], ["i"], "t", 0).count() == 6
 
 
-def test_store(spark, tmp_path):
-    c = store.Collection(spark, str(tmp_path), "points")
-    rows = lambda x: spark.createDataFrame(x, "id string, n int, v string")
-    c.upsert(rows([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)]), ["n"])
-    c.upsert(rows([("b", 5, "z"), ("c", 1, "w")]), ["n"])
-    c.upsert(rows([("b", 5, "z"), ("c", 1, "w")]), ["n"])
-    assert sorted(tuple(r) for r in c.read().collect()) == [("a", 2, "y"), ("b", 5, "z"), ("c", 1, "w")]
-    c.delete_where(F.col("v") == "z")
-    c.delete(rows([("a", 0, "")]))
-    assert [r.id for r in c.read().collect()] == ["c"]
-    c.drop()
-    assert not c.exists()
-
-
-def test_merge_stream(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    spark.createDataFrame([("a", 1, "upsert", "x"), ("b", 2, "upsert", "y"), ("a", 3, "delete", None)], "id string, seq int, op string, v string").write.parquet(folder)
-    stream = spark.readStream.schema("id string, seq int, op string, v string").parquet(folder)
-    c = store.Collection(spark, str(tmp_path), "merged")
-    windows.merge_changes(stream, c, ["seq"]).awaitTermination()
-    assert [(r.id, r.v) for r in c.read().collect()] == [("b", "y")]
+def test_store(spark):
+    rows = lambda x: spark.createDataFrame(x, "id string, n int, op string, v string")
+    log = rows([("a", 1, "upsert", "x"), ("a", 2, "upsert", "y"), ("b", 1, "upsert", None), ("b", 5, "delete", "z"), ("c", 1, "upsert", "w"), ("c", 1, "upsert", "w")])
+    assert sorted((r.id, r.v) for r in store.replayed(log, "id", "n", "op").collect()) == [("a", "y"), ("c", "w")]
+    assert sorted((r.id, r.v) for r in store.merged(log.where("n = 5"), rows([("b", 6, "upsert", "q")]), "id").collect()) == [("b", "q")]
+    assert store.newest(log.limit(0), "id", ["n"]).count() == 0
+
+
+def test_change_stream(spark, tmp_path):
+    """Two runs over a growing folder add two folders to the log; what remains is each key's last change."""
+    folder, path = str(tmp_path / "in"), str(tmp_path / "log")
+    schema = "id string, seq int, op string, v string"
+    spark.createDataFrame([("a", 1, "upsert", "x"), ("b", 2, "upsert", "y"), ("a", 3, "delete", None), ("c", 1, "upsert", "z")], schema).write.parquet(folder)
+    windows.logged_changes(spark.readStream.schema(schema).parquet(folder), path, "id", ["seq"]).awaitTermination()
+    log = spark.read.parquet(path)
+    assert log.count() == 3 and sorted((r.id, r.v) for r in store.replayed(log, "id", "seq", "op").collect()) == [("b", "y"), ("c", "z")]
+
+
+def test_nearest_blocks(spark, monkeypatch):
+    """Blocks of any size, broadcast or shuffled, give the brute-force neighbours, ties by id."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(120, 6)).round(1)
+    v[40:80] = v[0]
+    v[5] = 0
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    unit = v / np.where(np.linalg.norm(v, axis=1, keepdims=True) == 0, 1, np.linalg.norm(v, axis=1, keepdims=True))
+    want = {i: [j for _, j in sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in range(120) if j != i)[:7]] for i in range(0, 120, 10)}
+    for q, r, most in ((2_000, 4_000, 100), (3, 11, 100), (3, 11, 0)):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", q)
+        monkeypatch.setattr(vectors, "ROW_BLOCK", r)
+        monkeypatch.setattr(vectors, "BROADCAST_QUERIES", most)
+        got: dict = {}
+        for x in vectors.nearest(df.where("id % 10 = 0"), df, 7).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append(x.id)
+        assert got == want
+    assert vectors.nearest(df.limit(0), df, 7).count() == 0 == vectors.nearest(df, df.limit(0), 7).count()
+
+
+def scanned(text):
+    """Outermost balanced objects, character by character."""
+    out, depth, string, escape, start = [], 0, False, False, 0
+    for i, c in enumerate(text):
+        if escape:
+            escape = False
+        elif c == "\\":
+            escape = True
+        elif c == '"' and depth:
+            string = not string
+        elif c == "{" and not string:
+            start = i if depth == 0 else start
+            depth += 1
+        elif c == "}" and not string and depth:
+            depth -= 1
+            if depth == 0:
+                out.append(text[start : i + 1])
+    return out
+
+
+def test_objects_of_answers(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice('{}"\\a:1, \n') for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += ['Two: {"a": "}{", "b": {"c": 1}} and {"d": "\\"}"} {broken} {"e": 2}', 'x {"a": 1} then } and {', "", None, '```json\n{"f": [1, {"g": 2}]}\n``` {"h": 3}', "[1, 2]", '"é😀" {"k": "😀"} z']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r for r in df.select("i", answers.object_spans(F.col("t")).alias("s"), answers.objects(F.col("t")).alias("o"), answers.json_text(F.col("t")).alias("j"), F.transform(answers.object_spans(F.col("t")), lambda s: F.substring(F.col("t"), s["a"], s["n"])).alias("x")).collect()}
+    assert all(got[i].x == (scanned(t) if t else [] if t == "" else got[i].x) for i, t in enumerate(texts))
+    n = 300
+    assert got[n].o == ['{"a": "}{", "b": {"c": 1}}', '{"d": "\\"}"}'] and got[n].j == got[n].o[0] and got[n + 1].o == ['{"a": 1}']
+    assert got[n + 2].j is None and got[n + 3].j is None and got[n + 4].j == '{"f": [1, {"g": 2}]}' and got[n + 5].j == "[1, 2]" and got[n + 6].j == '{"k": "😀"}'
+
+
+def file_lines(spark, files):
+    rows = [("c", f, i, x) for f, t in files.items() for i, x in enumerate(t.split("\n"))]
+    return spark.createDataFrame(rows, "v string, file string, pos int, line string")
+
+
+def test_brace_chunks(spark):
+    go = "package a\n\nfunc One() {\n\tif x {\n\t}\n}\nfunc (s *S) Two(a int) int {\n\treturn 1\n}\nfunc line() { return }\nfunc open() {\n\tx()"
+    rust = "use a;\nfn one(x: u8) {\n    y();\n}\nimpl<T> B {\n    fn in() {\n    }\n}\nimpl A {\n}\nfn f()\nwhere X {\n}\n"
+    got = lambda lang, t: sorted((r.kind, r.name, r.start_line, r.end_line) for r in chunkers.brace_chunks(file_lines(spark, {"f": t}), ["v", "file"], lang).collect())
+    assert got("go", go) == [("function", "One", 3, 6), ("function", "line", 10, 10), ("function", "open", 11, 11), ("method", "Two", 7, 9)]
+    assert got("rust", rust) == [("class", "A", 9, 10), ("function", "f", 11, 13), ("function", "one", 2, 4)]
+    assert got("go", "package a\n\n// nothing") == [("file", None, 1, 3)]
+    assert chunkers.brace_chunks(file_lines(spark, {"f": go}).limit(0), ["v", "file"], "go").count() == 0
+
+
+def test_seeking_windows(spark):
+    """Against the walk by its definition, line by line."""
+    rng = random.Random(9)
+    pool = ["", "}", "});", "import 'a';", "final x", "final y = 1;", "class A {", "  foo(a,", "  b && c", "void f(int a) {", "x();", "if (a", "\u201c}", "Future<int> g() {", "   ", '"""open', "late z"]
+    good = lambda x: x == "" or x in ("}", "});", "})") or x.startswith(("import ", "export ")) or (x.split(" ")[0] in ("const", "var", "final", "late") and "=" not in x and len(x.split(" ")) > 1) or x.startswith(("class A", "void f(", "Future<int> g("))
+    bad = lambda x: "(" in x and ")" not in x and ";" not in x or "&&" in x or '"""' in x and not x.endswith('"""')
+
+    def slow(lines, size, overlap):
+        out, at = [], 0
+        while at < len(lines):
+            start = max(0, at - (overlap if out else 0))
+            end = min(len(lines), start + size)
+            stop = next((i + 1 for i in range(end - 1, start - 1, -1) if good(lines[i].strip())), None)
+            if stop is None:
+                stop = next((i for i in range(end - 1, start - 1, -1) if bad(lines[i].strip())), end)
+            stop = end if stop <= start else stop
+            if "".join(lines[start:stop]).strip():
+                out.append((start + 1, stop))
+            at = stop if stop > at else at + 1
+        return out
+
+    files = {f"f{i}": [rng.choice(pool) for _ in range(rng.randint(1, 60))] for i in range(40)} | {"long": ["x();"] * 200}
+    df = file_lines(spark, {k: "\n".join(v) for k, v in files.items()})
+    for size, overlap in ((80, 3), (7, 2), (5, 0)):
+        got: dict = {}
+        for r in chunkers.seeking_windows(df, ["v", "file"], size, overlap).orderBy("file", "start_line", "end_line").collect():
+            got.setdefault(r.file, []).append((r.start_line, r.end_line))
+        assert got == {k: sorted(slow(v, size, overlap)) for k, v in files.items() if slow(v, size, overlap)}
+
+
+def test_prompt_parts(spark):
+    df = spark.createDataFrame([("g", "block", 0.9, 1), ("g", "function", 0.1, 2), ("g", None, 1.0, 3), ("g", "function", 0.1, 1), ("g", "class", None, 5)], "g string, kind string, score double, id int")
+    assert [r.id for r in prompts.prioritised(df, ["g"], "kind", "score", "id").orderBy("place").collect()] == [1, 2, 5, 1, 3]
+    parts = spark.createDataFrame([("a" * 40, " ", "b" * 40, None), ("a", "", "", "")], "p string, q string, r string, s string")
+    rows = prompts.composed(parts, ["p", "q", "r", "s"], 10, " [cut]").collect()
+    assert [(r.budget_used, r.budget_remaining, r.truncated) for r in rows] == [(21, -11, True), (1, 9, False)] and rows[0].text == "a" * 40 + " [cut]"
+    assert [(r.estimated, r.warning) for r in prompts.preview(parts, ["p", "q", "r", "s"], 24).collect()] == [(21, "high utilisation"), (1, None)]
