@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import HUMAN, code_language, kept, source_name, spelling
+from lodestack.llm.common import HUMAN, LANGUAGES, code_language, kept, source_name, spelling
 from lodestack.sources.tables import table
 
 #: Words whose counts are broadcast: at most 20,000, none longer than 64 characters.
@@ -87,4 +87,28 @@ def p3_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_text.groupBy("table", "s.source", "s.language", "s.area").agg(F.sum("texts").alias("texts"), F.sum(F.col("texts") * F.col("tokens")).alias("tokens"), F.sum("tokens").alias("distinct_tokens"))
 
 
+def _spelt(column: str, names: dict[str, str], default: str) -> str:
+    """SQL for the normal name of each spelling."""
+    pairs = " ".join(f"WHEN '{y}' THEN '{k}'" for k, v in names.items() for y in dict.fromkeys([k, *v.split()]))
+    key = f"lower(trim({column}))"
+    return f"coalesce(CASE {key} {pairs} END, CASE regexp_extract({key}, '^([a-z]+)[-_]', 1) {pairs} END, '{default}')"
+
+
+_TEXTS_SQL = f"""t AS (SELECT content AS text, 'retrieved_chunks' AS "table", concat(retrieval_id, ':', hit_rank) AS id, collection AS source, {_spelt("language", LANGUAGES, "other")} AS language, repository FROM retrieved_chunks WHERE content IS NOT NULL
+UNION ALL SELECT text, 'documents', CAST(doc_id AS VARCHAR), source, {_spelt("lang", HUMAN, "und")}, repository FROM documents WHERE text IS NOT NULL),
+x AS (SELECT t.* EXCLUDE (source, repository), coalesce(replace(lower(trim(source)), '-', '_'), 'unknown') AS source, coalesce(area, 'unknown') AS area FROM t LEFT JOIN repositories r ON t.repository = r.repository),
+w AS (SELECT text, unnest(list_filter(regexp_split_to_array(text, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b]+'), lambda y: y <> '')) AS word FROM (SELECT DISTINCT text FROM x)),
+m AS (SELECT list({{'a': concat(chr(1), left_piece, chr(2), chr(1), right_piece, chr(2)), 'b': concat(chr(1), left_piece, right_piece, chr(2))}} ORDER BY merge_rank) AS rules FROM tokenizer_merges),
+d AS (SELECT DISTINCT word FROM w),
+p AS (SELECT word,
+  list_reduce(list_prepend({{'a': '', 'b': array_to_string(list_transform(string_split(concat(chr(9601), word), ''), lambda c: concat(chr(1), c, chr(2))), '')}}, rules), lambda s, r: {{'a': '', 'b': replace(s.b, r.a, r.b)}}).b AS pieces FROM d, m),
+k AS (SELECT text, CAST(sum(len(pieces) - len(replace(pieces, chr(1), ''))) AS BIGINT) AS tokens FROM w JOIN p USING (word) GROUP BY 1),
+y AS (SELECT x.*, coalesce(tokens, 0) AS tokens FROM x LEFT JOIN k ON x.text = k.text)"""
+
+SQL = {
+    "p3_text_tokens": f"""WITH {_TEXTS_SQL} SELECT "table", id, source, language, area, tokens FROM y""",
+    "p3_token_totals": f"""WITH {_TEXTS_SQL}, g AS (SELECT "table", text, tokens, unnest([{{'s': source, 'l': language, 'a': area}}, {{'s': source, 'l': '*', 'a': '*'}}, {{'s': '*', 'l': language, 'a': '*'}}, {{'s': '*', 'l': '*', 'a': area}}]) AS slice FROM y),
+u AS (SELECT "table", slice, text, count(*) AS texts, max(tokens) AS tokens FROM g GROUP BY 1, 2, 3)
+SELECT "table", slice.s AS source, slice.l AS language, slice.a AS area, CAST(sum(texts) AS BIGINT) AS texts, CAST(sum(texts * tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS BIGINT) AS distinct_tokens FROM u GROUP BY 1, 2, 3, 4""",
+}
 QUERIES = {"p3_text_tokens": p3_text_tokens, "p3_token_totals": p3_token_totals}

@@ -278,3 +278,24 @@ def test_queries_run(spark, data):
         rows = QUERIES[name](spark, data).toPandas()
         assert list(rows.columns) == want and len(rows) and not rows.duplicated().any(), name
     assert isinstance(rows, pd.DataFrame)
+
+
+def test_queries_with_sql(spark, data):
+    """Queries that SQL can say give the rows that DuckDB gives."""
+    import os
+
+    import duckdb
+
+    from lodestack.llm.queries import QUERIES, SQL
+
+    duck = duckdb.connect()
+    for f in os.listdir(data):
+        duck.execute(f"create view {f.removesuffix('.parquet')} as select * from '{data}/{f}'")
+    assert SQL
+    for name, sql in SQL.items():
+        df = QUERIES[name](spark, data)
+        found = duck.execute(sql)
+        names = [x[0] for x in found.description]
+        assert sorted(names) == sorted(df.columns)
+        want = sorted((tuple(r) for r in found.fetchall()), key=repr)
+        assert want and sorted((tuple(r) for r in df.select(*names).collect()), key=repr) == want
