@@ -10,6 +10,7 @@ from lodestack.functions.vectors import euclidean
 from lodestack.operators import answers as A
 from lodestack.operators import chunkers as C
 from lodestack.operators import diffs as D
+from lodestack.operators import nodes as N
 from lodestack.operators import prompts as P
 from lodestack.operators.filters import compiled
 from lodestack.plans.filters import AS_OF, IMPORTANCE_SQL
@@ -250,3 +251,21 @@ def extreme_files(spark, d):
     place = lambda order: F.row_number().over(Window.partitionBy("repository").orderBy(order, "file", "commit_sha")) <= 10
     x = f.select("repository", "commit_sha", "file", place(F.desc_nulls_last("lines")).alias("is_largest"), place(F.asc_nulls_last("created")).alias("is_oldest"), place(F.desc_nulls_last("created")).alias("is_newest"))
     return x.where("is_largest or is_oldest or is_newest")
+
+
+def _nodes(spark, d, *languages):
+    chunks = file_chunks(spark, d).where(F.col("language").isin(*languages) & (F.col("path") != ""))
+    lines = D.chunk_lines(chunks, ["version", "path", "language"], "content", "start_line").withColumnsRenamed({"version": "commit_sha", "path": "file"})
+    return N.nodes(lines, ["commit_sha", "file"], "language")
+
+
+@query()
+def script_nodes(spark, d):
+    """Classes, functions, methods and the like of all TypeScript and JavaScript files."""
+    return _nodes(spark, d, "typescript", "javascript")
+
+
+@query()
+def dart_nodes(spark, d):
+    """Classes, functions and runs of imports of all Dart files."""
+    return _nodes(spark, d, "dart")

@@ -227,3 +227,87 @@ def test_prompt_parts(spark):
     rows = prompts.composed(parts, ["p", "q", "r", "s"], 10, " [cut]").collect()
     assert [(r.budget_used, r.budget_remaining, r.truncated) for r in rows] == [(21, -11, True), (1, 9, False)] and rows[0].text == "a" * 40 + " [cut]"
     assert [(r.estimated, r.warning) for r in prompts.preview(parts, ["p", "q", "r", "s"], 24).collect()] == [(21, "high utilisation"), (1, None)]
+
+
+SCRIPT = """import { A } from './a';
+
+export class Queue<T> extends Base {
+  private items: T[] = [];
+
+  constructor(private readonly size: number) {
+    super();
+  }
+
+  push(item: T, { force }: Options = {}): void {
+    if (this.items.length > this.size && !force) {
+      throw new Error(`full { ${item} `);
+    }
+    this.items.push(item);
+  }
+
+  get short(): number { return 1; }
+}
+
+interface Shape {
+  area: number;
+  name?: string;
+}
+
+export const run = async (jobs: Job[]) => {
+  for (const j of jobs) {
+    await j.go(function done(x) {
+      return x ? 1 : 2; // }
+    });
+  }
+};
+
+enum Kind {
+  A,
+}
+
+function* walk(a = '{') {
+  while (a) { yield a; }
+}
+"""
+DART = """import 'dart:io';
+import 'package:a/b.dart';
+
+abstract class Shape extends Base {
+  final int size = 1;
+
+  double area(int x) {
+    if (x > 1 && x < 3) {
+      return 2.0;
+    }
+    return 1.0;
+  }
+
+  int one() { return 1; }
+}
+
+enum Kind { a, b }
+
+Future<void> load(String path) async {
+  final f = File(path);
+  for (var l in f.readAsLinesSync()) {
+    print('{$l');
+  }
+}
+"""
+
+
+def test_nodes_of_files(spark):
+    """Classes, functions, methods, imports, enums, nesting and malformed files."""
+    from lodestack.operators.nodes import nodes, nodes_of
+
+    assert [x[:6] for x in nodes_of(SCRIPT, False)] == [
+        ("class", "class", "Queue", 3, 18, 0), ("constructor", "function", "constructor", 6, 8, 1), ("method", "method", "push", 10, 15, 1), ("interface", "class", "Shape", 20, 23, 0), ("arrow", "function", "run", 25, 31, 0),
+        ("function", "function", "done", 27, 29, 1), ("enum", "statement", "Kind", 33, 35, 0), ("function", "function", "walk", 37, 39, 0),
+    ]
+    assert [x[6] for x in nodes_of(SCRIPT, False)][2] == 4
+    assert [x[:6] for x in nodes_of(DART, True)] == [("module", "module", None, 1, 2, 0), ("class", "class", "Shape", 4, 15, 0), ("method", "method", "area", 7, 12, 1), ("function", "function", "load", 19, 24, 0)]
+    assert nodes_of("", True) == nodes_of("}}}{{{", False) == nodes_of("class A {\n x() {\n", False) == []
+    assert [x[2] for x in nodes_of("class A {\n x() {\n }\n}\n}\nfunction f() {\n\n}\n", False)] == ["A", "f"]
+    lines = file_lines(spark, {"q.ts": SCRIPT, "z.ts": "let a = 1;"}).withColumn("lang", F.lit("typescript"))
+    got = nodes(lines, ["v", "file"], "lang")
+    assert got.count() == 8 and {r.file for r in got.collect()} == {"q.ts"} and nodes(lines.limit(0), ["v", "file"], "lang").count() == 0
