@@ -177,8 +177,9 @@ def latest_reviews(spark, d):
     return top.select("id", F.floor(F.col("us") / 1_000_000).cast("bigint").alias("created"), F.row_number().over(Window.orderBy(F.desc("us"), "id")).alias("place"))
 
 
-@query("""WITH f AS (SELECT DISTINCT commit_sha, unnest(files) AS file FROM commits), k AS (SELECT DISTINCT commit_sha, file FROM code_chunks) SELECT commit_sha, file FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.commit_sha = f.commit_sha AND k.file = f.file)""")
-def commit_files_not_indexed(spark, d):
-    """Files that a commit names and of which it has no chunk."""
+@query("""WITH f AS (SELECT DISTINCT commit_sha, unnest(files) AS file FROM commits), k AS (SELECT DISTINCT commit_sha, file, 1 AS hit FROM code_chunks) SELECT f.commit_sha, count(*) AS files, CAST(count(hit) AS BIGINT) AS indexed FROM f LEFT JOIN k ON k.commit_sha = f.commit_sha AND k.file = f.file GROUP BY 1""")
+def commit_index_coverage(spark, d):
+    """How many of the files that a commit names have chunks of it."""
     f = table(spark, d, "commits").select("commit_sha", F.explode("files").alias("file")).distinct()
-    return f.join(table(spark, d, "code_chunks").select("commit_sha", "file"), ["commit_sha", "file"], "left_anti")
+    k = table(spark, d, "code_chunks").select("commit_sha", "file").distinct().withColumn("hit", F.lit(1))
+    return f.join(k, ["commit_sha", "file"], "left").groupBy("commit_sha").agg(F.count("*").alias("files"), F.count("hit").alias("indexed"))
