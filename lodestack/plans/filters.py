@@ -191,6 +191,8 @@ def code_pattern_async(spark, d):
     return chunks(spark, d).where(F.length("content").between(500, 1500) & F.contains(low, F.lit("async")) & F.contains(low, F.lit("await"))).select("file", F.coalesce("language", F.lit("unknown")).alias("language"), F.length("content").cast("bigint").alias("n"))
 
 
-@query()
+@query("""WITH u AS (SELECT id, flatten(list_transform(list_filter(string_split(content, ''), lambda c: c <> ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END)) AS units FROM code_chunks WHERE content IS NOT NULL),
+h AS (SELECT id, list_reduce(list_prepend(0::BIGINT, units), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM u)
+SELECT id, lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS hash FROM h""")
 def content_hash32(spark, d):
     return chunks(spark, d).where("content is not null").select("id", X.hash32(F.col("content")).alias("hash"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import scoring as S
+from lodestack.operators.answers import REVIEW
 from lodestack.plans.filters import AS_OF
 from lodestack.sources.tables import table
 
@@ -183,3 +184,45 @@ def commit_index_coverage(spark, d):
     f = table(spark, d, "commits").select("commit_sha", F.explode("files").alias("file")).distinct()
     k = table(spark, d, "code_chunks").select("commit_sha", "file").distinct().withColumn("hit", F.lit(1))
     return f.join(k, ["commit_sha", "file"], "left").groupBy("commit_sha").agg(F.count("*").alias("files"), F.count("hit").alias("indexed"))
+
+
+@query("""WITH h AS (SELECT retrieval_id, chunk_id, max(score) AS score, max(file) AS file FROM retrieved_chunks WHERE file LIKE 'src/%' GROUP BY 1, 2) SELECT retrieval_id, chunk_id, row_number() OVER (PARTITION BY retrieval_id ORDER BY score DESC NULLS LAST, chunk_id) AS place FROM h QUALIFY place <= 50""")
+def hits_in_directory(spark, d):
+    """The fifty best hits of each retrieval below a directory; the number is the feature."""
+    h = table(spark, d, "retrieved_chunks").where(F.col("file").startswith("src/")).groupBy("retrieval_id", "chunk_id").agg(F.max("score").alias("score"))
+    return h.withColumn("place", F.row_number().over(Window.partitionBy("retrieval_id").orderBy(F.desc_nulls_last("score"), "chunk_id"))).where("place <= 50").select("retrieval_id", "chunk_id", "place")
+
+
+@query(r"""SELECT doc_id, regexp_matches(lower(text), '\b(security|injection|credential|password|secret|deadlock|data loss)\b') AS escalate, regexp_matches(text, '(?m)^\s*(//|#)\s*(resolved|fixed|done)\b') AS resolves, regexp_matches(text, '^(feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(\([^)]*\))?!?: ') AS conventional FROM documents WHERE text IS NOT NULL""")
+def keyword_rules(spark, d):
+    """Texts that ask for attention, that resolve something, or that follow the convention of commit messages."""
+    x = table(spark, d, "documents").where("text is not null")
+    return x.select(
+        "doc_id", F.lower("text").rlike(r"\b(security|injection|credential|password|secret|deadlock|data loss)\b").alias("escalate"), F.col("text").rlike(r"(?m)^\s*(//|#)\s*(resolved|fixed|done)\b").alias("resolves"),
+        F.col("text").rlike(r"^(feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(\([^)]*\))?!?: ").alias("conventional"),
+    )
+
+
+@query("""WITH r AS (SELECT id, max(raw_response) AS raw FROM cloud_responses GROUP BY 1), j AS (SELECT id, CAST(raw AS JSON) AS j FROM r WHERE starts_with(raw, '{') AND json_valid(raw)), i AS (SELECT id, unnest(CAST(json_extract(j, '$.issues[*]') AS JSON[])) AS x, generate_subscripts(CAST(json_extract(j, '$.issues[*]') AS JSON[]), 1) AS n FROM j)
+SELECT id AS review_id, CAST(n AS INTEGER) AS ordinal, json_extract_string(x, '$.file') AS file, CAST(json_extract_string(x, '$.line') AS INTEGER) AS line, lower(json_extract_string(x, '$.category')) AS category, lower(json_extract_string(x, '$.severity')) AS severity, json_extract_string(x, '$.comment') AS summary, 0.8::DOUBLE AS confidence FROM i""")
+def insights_fanned_out(spark, d):
+    """One insight row for every issue of the reviews that are JSON as a whole, as they are stored beside the review."""
+    r = table(spark, d, "cloud_responses").groupBy("id").agg(F.max("raw_response").alias("raw")).where(F.col("raw").startswith("{") & F.get_json_object("raw", "$").isNotNull())
+    i = r.select("id", F.posexplode(F.from_json("raw", REVIEW)["issues"]).alias("n", "x"))
+    return i.select(F.col("id").alias("review_id"), (F.col("n") + 1).alias("ordinal"), "x.file", "x.line", F.lower("x.category").alias("category"), F.lower("x.severity").alias("severity"), F.col("x.comment").alias("summary"), F.lit(0.8).alias("confidence"))
+
+
+@query("""WITH c AS (SELECT DISTINCT id, file, language, content, complexity FROM code_chunks) SELECT id, file, CASE WHEN language IS NOT NULL THEN content ELSE '' END AS content, CASE WHEN complexity > 5 THEN complexity END AS complexity FROM c""")
+def optional_columns(spark, d):
+    """Chunks whose content or metadata is left out on condition, as callers ask."""
+    c = table(spark, d, "code_chunks").select("id", "file", "language", "content", "complexity").distinct()
+    return c.select("id", "file", F.when(F.col("language").isNotNull(), F.col("content")).otherwise("").alias("content"), F.when(F.col("complexity") > 5, F.col("complexity")).alias("complexity"))
+
+
+@query("""WITH c AS (SELECT DISTINCT id, repository, length(content) AS size FROM code_chunks WHERE content IS NOT NULL AND repository IS NOT NULL), t AS (SELECT repository, count(*) AS chunks, sum(size) AS size FROM c GROUP BY 1), f AS (SELECT repository, count(DISTINCT file) AS files FROM code_chunks WHERE repository IS NOT NULL GROUP BY 1) SELECT repository, round(chunks / files, 6)::DOUBLE AS chunks_per_file, round(size / chunks, 4)::DOUBLE AS size_per_chunk FROM t JOIN f USING (repository)""")
+def mean_per_file(spark, d):
+    """Chunks a file and characters a chunk of each repository."""
+    x = table(spark, d, "code_chunks").where("repository is not null")
+    t = x.where("content is not null").select("id", "repository", F.length("content").alias("size")).distinct().groupBy("repository").agg(F.count("*").alias("chunks"), F.sum("size").alias("size"))
+    f = x.groupBy("repository").agg(F.count_distinct("file").alias("files"))
+    return t.join(f, "repository").select("repository", F.round(F.col("chunks") / F.col("files"), 6).alias("chunks_per_file"), F.round(F.col("size") / F.col("chunks"), 4).alias("size_per_chunk"))

@@ -156,7 +156,15 @@ def declaration_chunks(spark, d):
     return C.declarations(file_chunks(spark, d), ["version", "path"], "content", "language", "start_line", "id").select("id", "name", "start_line", "end_line")
 
 
-@query()
+@query(
+    r"""WITH k AS (SELECT id, CASE WHEN commit_sha IS NULL OR file IS NULL THEN id ELSE commit_sha END AS version, CASE WHEN commit_sha IS NULL OR file IS NULL THEN '' ELSE file END AS path, coalesce(start_line, 1) AS s, content FROM code_chunks WHERE content IS NOT NULL),
+w AS (SELECT DISTINCT version, path FROM k WHERE contains(content, '@@ -')), x AS (SELECT k.* FROM k JOIN w USING (version, path)),
+l AS (SELECT version, path, s + i - 2 AS pos, arg_min(y, (s, y)) AS line FROM (SELECT version, path, s, unnest(string_split_regex(content, '\r?\n')) AS y, generate_subscripts(string_split_regex(content, '\r?\n'), 1) AS i FROM x) GROUP BY 1, 2, 3),
+h AS (SELECT *, regexp_matches(line, '^@@ -\d+(,\d+)? \+\d+(,\d+)? @@') AS head FROM l), n AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY version, path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hunk FROM h),
+g AS (SELECT version, path, count(*) FILTER (WHERE starts_with(line, '+')) AS added, count(*) FILTER (WHERE starts_with(line, '-')) AS deleted FROM n WHERE hunk > 0 AND NOT head AND NOT starts_with(line, 'diff --git ') AND NOT regexp_matches(line, '^(---|\+\+\+) [ab/]') AND NOT starts_with(line, chr(92)) GROUP BY 1, 2),
+f AS (SELECT version, path, arg_min(id, (s, id)) AS id FROM x GROUP BY 1, 2)
+SELECT id, added, deleted, CASE WHEN added > 0 AND deleted = 0 THEN 'added' WHEN deleted > 0 AND added = 0 THEN 'deleted' ELSE 'modified' END AS status FROM g JOIN f USING (version, path)"""
+)
 def unified_diff_lines(spark, d):
     """Status of every file version with hunks in any of its chunks; id is that of its first chunk."""
     chunks, key = file_chunks(spark, d), ["version", "path"]
