@@ -7,7 +7,7 @@ language (``grammars``), level by level of its balanced brackets. Versions that
 ``OVERLAP`` lines or one ends inside an expression of a template, are few: their texts are put together and lexed as one.
 
 Cases: an empty file is valid; a chunk whose text every delivery lost, or that is missing, leaves its version ``incomplete``, which is
-no case; repeated deliveries of a chunk count once, the newest that has its text; very long files are rows of short summaries.
+no case; a last line that isn't given is counted; repeated deliveries of a chunk count once, the newest that has its text; very long files are rows of short summaries.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def composed(pieces: list[dict]) -> tuple[int, int, str, str | None]:
     first, line, status = pieces[0]["start_line"], None, None
     whole: dict[str, list] | None = None
     for p in pieces:
-        if p["map"] is None or line is not None and p["start_line"] > line:
+        if p["map"] is None or p["end_line"] is None or p.get("status") == "incomplete" or line is not None and p["start_line"] > line:
             return first, p["end_line"], "", "incomplete"
         if line is not None and p["start_line"] + OVERLAP != line or p.get("status"):
             status = p.get("status") or "again"
@@ -143,7 +143,8 @@ def file_syntax(chunks: DataFrame) -> DataFrame:
     version, ext = ["commit_sha", "file"], extension(F.col("file"))
     start = F.coalesce("start_line", F.lit(1))
     source = chunks.where(ext.isin(*EXTENSIONS) & F.col("commit_sha").isNotNull())
-    maps = source.select(*version, "repository", start.alias("start_line"), "ingested_at", "end_line", piece_map("content", ext, start).alias("map"))
+    end = F.coalesce("end_line", start + F.size(F.split("content", "\n")) - 1)
+    maps = source.select(*version, "repository", start.alias("start_line"), "ingested_at", end.alias("end_line"), piece_map("content", ext, start).alias("map"))
     newest = F.max_by(F.struct("end_line", "map"), F.struct(F.col("map").isNotNull(), "ingested_at", "map"))
     pieces = maps.groupBy(*version, "start_line").agg(newest.alias("p"), F.max("repository").alias("repository"))
     ordered = lambda x: F.sort_array(F.collect_list(F.struct(*x)))

@@ -227,7 +227,7 @@ def sampled(chunks: DataFrame, size: int) -> DataFrame:
     firsts = chunks.where("start_line = 1").count()
     part = min(1.0, size / max(1, firsts))
     own = chunks.where((F.pmod(F.xxhash64("commit_sha", "file"), F.lit(1_000_003)) < part * 1_000_003) & F.col("content").isNotNull())
-    pieces = own.groupBy("commit_sha", "file", "start_line").agg(F.max_by("content", "ingested_at").alias("content"), F.max("repository").alias("repository"))
+    pieces = own.groupBy("commit_sha", "file", "start_line").agg(F.max_by("content", F.struct("ingested_at", "content")).alias("content"), F.max("repository").alias("repository"))
     files = pieces.groupBy("commit_sha", "file").agg(F.sort_array(F.collect_list(F.struct("start_line", "content"))).alias("chunks"), F.max("repository").alias("repository"))
     return files.select("commit_sha", "file", "repository", example("file", "chunks").alias("e")).select("commit_sha", "file", "repository", "e.*")
 
@@ -305,7 +305,8 @@ def certain(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
 
 def labelled(chunks: DataFrame) -> DataFrame:
     """commit_sha, file, repository, label of every file version, by its own giveaways."""
-    pieces = chunks.where("content is not null").groupBy("commit_sha", "file", "start_line").agg(F.max_by(traits_of("content", "start_line"), "ingested_at").alias("traits"), F.max("repository").alias("repository"))
+    own = spread(chunks.where("content is not null")).select("commit_sha", "file", "start_line", "repository", "ingested_at", traits_of("content", "start_line").alias("traits"))
+    pieces = own.groupBy("commit_sha", "file", "start_line").agg(F.max_by("traits", F.struct("ingested_at", "traits")).alias("traits"), F.max("repository").alias("repository"))
     files = pieces.groupBy("commit_sha", "file").agg(F.sort_array(F.collect_list(F.struct("start_line", "traits"))).alias("own"), F.max("repository").alias("repository"))
     return files.select("commit_sha", "file", "repository", certain("file", "own").alias("label"))
 
