@@ -27,10 +27,10 @@ def within_budget(chunks: DataFrame, group: list[str], order: list, text: str, b
 
 
 def proportional(texts: DataFrame, group: list[str], text: str, budget: int) -> DataFrame:
-    """Each text's share of the group's budget by its tokens, rounded down; those left without any drop out."""
+    """Each text's share of the group's budget by its tokens, rounded down; those left without any drop out, as do groups without tokens."""
     w = Window.partitionBy(*group)
     n = tokens(F.col(text))
-    share = F.floor(n / F.sum(n).over(w) * budget).cast("long")
+    share = F.floor(F.try_divide(n, F.sum(n).over(w)) * budget).cast("long")
     return texts.withColumn("tokens", n).withColumn("share", share).where("share > 0")
 
 

@@ -104,6 +104,13 @@ def test_budgets(spark):
     assert prompts.within_budget(df, ["g"], ["i"], "t", 0).count() == 6
 
 
+def test_shares_of_groups_without_tokens(spark):
+    """A group whose texts are all null or empty has no share to give; the others get theirs."""
+    df = spark.createDataFrame([("a", 1, "x" * 40), ("a", 2, "y" * 120), ("a", 3, ""), ("b", 1, None), ("b", 2, ""), (None, 1, "z"), ("c", 1, None)], "g string, i int, t string")
+    assert sorted(tuple(r) for r in prompts.proportional(df, ["g"], "t", 500).where("g is not null").drop("t").collect()) == [("a", 1, 10, 125), ("a", 2, 30, 375)]
+    assert [tuple(r) for r in prompts.proportional(df, ["g"], "t", 500).where("g is null").drop("t").collect()] == [(None, 1, 1, 500)]
+
+
 def test_store(spark):
     rows = lambda x: spark.createDataFrame(x, "id string, n int, op string, v string")
     log = rows([("a", 1, "upsert", "x"), ("a", 2, "upsert", "y"), ("b", 1, "upsert", None), ("b", 5, "delete", "z"), ("c", 1, "upsert", "w"), ("c", 1, "upsert", "w")])
