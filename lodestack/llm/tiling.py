@@ -64,6 +64,12 @@ def tiles(pattern: list[str], text: list[str], least: int, start: int = 24) -> l
         size = max(least, size // 2 if size > 2 * least else least)
 
 
+def holds(pattern: list[str], text: list[str], n: int) -> bool:
+    """Whether a run of n words of the pattern stands in the text as it is."""
+    runs = {tuple(pattern[i : i + n]) for i in range(len(pattern) - n + 1)}
+    return any(tuple(text[j : j + n]) in runs for j in range(len(text) - n + 1))
+
+
 def standing(item: int, marked: list[bool], least: int = 6) -> list[bool]:
     """The words of an item that stand in runs of ``least`` or more words without any of its own: instructions that items share."""
     out, k = [False] * item, 0

@@ -156,6 +156,42 @@ def test_leaks_of_repeated_items_and_replaced_words(spark):
     assert got == [(d, k) for d in (1, 2, 5) for k in range(4)]
 
 
+def test_leaks_of_passages_that_items_share(spark):
+    """A passage that many items share, under one instruction and with other questions after it, is found for each: whole, 15 words of it, and reworded."""
+    head = "Read the text below and answer in one short sentence without any code. "
+    body = [f"p{i}" for i in range(50)]
+    rows = [(k, head + " ".join(body) + " " + " ".join(f"q{k}y{i}" for i in range(20))) for k in range(5)] + [(20 + k, head + " ".join(f"u{k}y{i}" for i in range(60))) for k in range(6)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    reworded = [x if i % 4 != 3 else "other" for i, x in enumerate(body[5:30])]
+    docs = [(1, "so " + " ".join(body)), (2, " ".join(body[20:35])), (3, "and " + " ".join(reworded) + " then"), (4, " ".join(body[20:34])), (5, head), (6, head + " ".join(body[:10])), (7, None), (8, "")]
+    got = sorted(map(tuple, p6_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()))
+    assert got == [(d, k) for d in (1, 2, 3) for k in range(5)]
+
+
+def test_leaks_of_items_made_of_phrases(spark):
+    """Items all of whose seeds stand in many others are found by 15 words in a row, short ones by all their words, but not by single phrases."""
+    phrases = [[f"f{k}y{i}" for i in range(4)] for k in range(5)]
+    rng = random.Random(3)
+    rows = [(k, " ".join(w for f in rng.choices(phrases, k=9) for w in f)) for k in range(40)] + [(200, " ".join(phrases[0]))]
+    text = rows[7][1].split()
+    docs = [(1, "x " + " ".join(text[10:25]) + " y"), (2, " ".join(text[10:24])), (3, " x ".join(" ".join(f) for f in phrases[1:3])), (4, "z " + " ".join(phrases[0]) + " z")]
+    got = sorted(map(tuple, p6_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")).collect()))
+    runs = lambda words, n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+    assert got == [(d, k) for d, t in docs for k, i in rows if runs(t.split(), min(15, len(i.split()))) & runs(i.split(), min(15, len(i.split())))]
+    assert (1, 7) in got and (4, 200) in got and (2, 7) not in got
+
+
+def test_seeds_of_many_items(spark):
+    """With more items, chance meetings of their seeds don't hide reworded passages: what few of them share is no phrase."""
+    rng = random.Random(6)
+    triples = [[f"t{k}y{i}" for i in range(3)] for k in range(4000)] * 3
+    rng.shuffle(triples)
+    rows = [(k, " ".join(w for t in triples[k * 20 : k * 20 + 20] for w in t)) for k in range(600)]
+    docs = [(1, "so " + " ".join(w for t in triples[60:68] for w in (*t, "other")) + " then"), (2, " ".join(triples[80]))]
+    got = p6_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3)]
+
+
 def test_quotas():
     tokens, target, repeats = {"a": 1000, "b": 100, "c": 0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 3, "c": 2}
     take, exponent = p7_mixture.quotas(tokens, target, repeats)
